@@ -1,0 +1,72 @@
+"""Fast ids of the tokenizers library: units of text are encoded once and remembered."""
+
+from __future__ import annotations
+
+import json
+import re
+from functools import lru_cache
+
+import numpy as np
+
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space and the run of other characters that follows. A byte-level
+#: pattern never matches across the end of such a run into white space, so a
+#: text's ids are those of its units, one after another.
+UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+
+
+class Units:
+    """Encoder over a byte-level BPE file of the tokenizers library.
+
+    Remembers the ids of at most ``room`` units, and forgets all when it is
+    full; the ids do not depend on what is remembered.
+    """
+
+    def __init__(self, path: str, room: int = 400_000):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.room, self.known = room, {}
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        #: Bytes of each id; in the vocabulary each byte is written as one character.
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.width[i] = len(token)
+
+    def _learn(self, units: list[str]) -> None:
+        """All units in one text, then cut the ids where the units' bytes end."""
+        ids = np.array(self.tokenizer.encode("".join(units), add_special_tokens=False).ids, "<u4")
+        ends = np.cumsum([len(u.encode()) for u in units])
+        stops = np.cumsum(self.width[ids])
+        at = np.searchsorted(stops, ends) + 1
+        if len(stops) and not np.array_equal(stops[at - 1], ends):
+            raise ValueError("the tokenizer merges across units; it is not byte-level with the usual pattern")
+        data, known, a = ids.tobytes(), self.known, 0
+        for u, b in zip(units, (at * 4).tolist()):
+            known[u] = data[a:b]
+            a = b
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        split = [UNIT.findall(t) for t in texts]
+        if len(self.known) > self.room:
+            self.known.clear()
+        fresh = set().union(*split).difference(self.known)
+        # only units that start with white space may follow one another
+        spaced = [u for u in fresh if u[0].isspace() and not u[-1].isspace() and not u[0] in "\x1c\x1d\x1e\x1f"]
+        if spaced:
+            self._learn(spaced)
+        for u in fresh.difference(spaced):
+            self._learn([u])
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, s)), "<u4") for s in split]
+
+
+@lru_cache(2)
+def units(path: str) -> Units:
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Units(path)
