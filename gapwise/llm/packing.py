@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
-from .units import units
+from .ids import ids as ids_of
 
 
 class OpenWindows:
@@ -77,11 +77,11 @@ def cut_documents(docs: DataFrame, path: str, size: int, end_id: int = 0, id_col
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def run(batches):
-        enc = units(path)
-        for b in base.slices(batches, text_col, 2 << 20):
+        enc = ids_of(path)
+        for b in base.slices(batches, text_col, 8 << 20):
             rows, start, length, crc, total = [], [], [], [], []
-            for k, ids in enumerate(enc.encode(base.strings(b.column(1)))):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+            for k, t in enumerate(base.strings(b.column(1))):
+                ids = np.append(enc.encode(t), np.uint32(end_id)).astype("<u4")
                 for at in range(0, len(ids), size):
                     piece = ids[at : at + size]
                     rows.append(k)
@@ -107,7 +107,7 @@ def pack_documents(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0
     Returns per piece: id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset. A null or empty text is the single id ``end_id``. Ids may be null or
     repeat: each row is a document. No rows: an empty result. Sequence ids are
-    unique and depend only on the rows and the number of shuffle partitions.
+    unique; they depend on the rows and on how many tasks the pieces are dealt to.
     """
     pieces = cut_documents(docs, path, size, end_id, id_col, text_col)
     schema = pieces.schema

@@ -1,13 +1,11 @@
 import hashlib
 import random
-import re
 import zlib
 
 import numpy as np
 import public_tokenizers as P
-import pytest
 
-from gapwise.llm import bpe, packing, units
+from gapwise.llm import bpe, ids, packing
 
 MULTI, PLAIN = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
 ODD = ["", " ", "a", "a  b", "a\t  b \n\n c", "x" * 3000, "don't we'll 'S", "été 中文，漢字。 　  a", "a\x1cb \x1c c\x85d", "   \n", "🙂🙂 é ½²x9", "<|endoftext|> a", "\n\n\n", "tab\tend "]
@@ -41,15 +39,18 @@ def test_op4_query(spark, sf):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(docs[r.doc_id].encode()).hexdigest())
 
 
-def test_units_are_the_library(spark, sf):
+def test_ids_are_the_library(spark, sf):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PLAIN)
     t.encode_special_tokens = True
     texts = [x[1] or "" for x in rows()] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
-    u = units.Units(PLAIN, room=50)
-    got = [x for i in range(0, len(texts), 9) for x in u.encode(texts[i : i + 9])]
-    assert [x.tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    own = ids.ids(PLAIN)
+    assert own.core is not None
+    for x in texts:
+        got = own.encode(x)
+        assert got.tolist() == t.encode(x, add_special_tokens=False).ids
+        assert own.width[got].sum() == len(x.encode())
 
 
 def test_best_fit_takes_the_tightest_window():
