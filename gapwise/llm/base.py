@@ -43,12 +43,17 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` read back from a reliable checkpoint, its lineage cut.
 
     The folder is that of spark.checkpoint.dir; only where none is set (tests,
-    a notebook) a local one is made.
+    a notebook) a local one is made. checkpoint() hands on the size estimates of
+    the plan that it replaces; over rounds of joins these square again and again
+    until the driver only multiplies large integers, so the rows are wrapped anew.
+    Spark removes the files when nothing refers to them.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gapwise-cp-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def utf8(column: pa.Array) -> list[bytes]:

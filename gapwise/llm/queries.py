@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from .base import table
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, learn, training_rows
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs.select("doc_id", "text"), learn(training_rows(docs)))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -41,7 +57,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_byte_bpe, op8_packing, op9_quality_rules, op10_chat_format)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op4_byte_bpe, op8_packing, op9_quality_rules, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
