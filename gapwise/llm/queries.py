@@ -33,6 +33,21 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of each document; a token over a line's end counts where it starts."""
+    import public_tokenizers as P
+
+    from .counts import section_counts
+
+    return section_counts(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .forest import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -57,7 +72,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op4_byte_bpe, op8_packing, op9_quality_rules, op10_chat_format)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op4_byte_bpe, op6_token_counts, op7_embedding_dedup, op8_packing, op9_quality_rules, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
