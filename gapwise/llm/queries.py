@@ -33,6 +33,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each line of each document; a token over a line's end counts where it starts."""
     import public_tokenizers as P
@@ -72,7 +79,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op4_byte_bpe, op6_token_counts, op7_embedding_dedup, op8_packing, op9_quality_rules, op10_chat_format)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op4_byte_bpe, op5_line_dedup, op6_token_counts, op7_embedding_dedup, op8_packing, op9_quality_rules, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
