@@ -145,6 +145,61 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return full.select("a", "b", "arow", "atext", "btext").mapInArrow(run, "a long, b long")
 
 
+#: Buckets up to SMALL are joined with themselves; larger ones go in chunks, and these in blocks.
+SMALL, CHUNK, BLOCK, DENSE = 48, 1024, 256, 1 << 20
+
+
+def compare_buckets(rest: DataFrame, texts: DataFrame, k: int, percent: int, unlike: int) -> DataFrame:
+    """Links (a, b) between the parts of each bucket; a pair is decided in the first bucket that it shares.
+
+    A bucket's rows are dealt to chunks and each two chunks meet in one task,
+    which compares them in blocks and returns one link for two parts at most:
+    no pairs are moved, and no task holds more than two chunks.
+    """
+    held = texts.select("row", "text").join(rest.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    two = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least("chunk", x).alias("i"), F.greatest("chunk", x).alias("j"))))
+    dealt = rest.join(held, "row").withColumn("x", two).select("band", "x.i", "x.j", "chunk", "cls", "part", "b0", "b1", "b2", "b3", "bands", "text")
+
+    def compare(key, t):
+        t = t.sort_by("cls").combine_chunks()
+        band, left, right = (x.as_py() for x in key)
+        cls, part, chunk = (t.column(c).to_numpy() for c in ("cls", "part", "chunk"))
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(cls), -1)
+        before = bands[:, : int(np.flatnonzero(bands[0] == band)[0])]
+        low = np.stack([t.column(f"b{i}").to_numpy() for i in range(4)], 1)
+        sets = [shingles(x, k) for x in base.utf8(t.column("text"))]
+        size = np.array([len(x) for x in sets])
+        rows, cols = np.flatnonzero(chunk == left), np.flatnonzero(chunk == right)
+        out = []
+        for x in range(0, len(rows), BLOCK):
+            for y in range(x if left == right else 0, len(cols), BLOCK):
+                a, b = rows[x : x + BLOCK], cols[y : y + BLOCK]
+                ok = part[a][:, None] != part[b]
+                ok &= np.bitwise_count(low[a][:, None] ^ low[b]).sum(2, dtype=np.int64) <= unlike
+                ok &= 100 * np.minimum.outer(size[a], size[b]) >= percent * np.maximum.outer(size[a], size[b])
+                ok &= ~(before[a][:, None] == before[b]).any(2)
+                u, v = np.nonzero(ok)
+                if not len(u):
+                    continue
+                if size[a].sum() + size[b].sum() <= DENSE:
+                    every, code = np.unique(np.concatenate([sets[i] for i in (*a, *b)]), return_inverse=True)
+                    of = np.zeros((len(a) + len(b), len(every)), np.float32)
+                    of[np.repeat(np.arange(len(of)), np.concatenate((size[a], size[b]))), code] = 1
+                    both = np.rint(of[: len(a)] @ of[len(a) :].T)[u, v].astype(np.int64)
+                else:
+                    both = np.array([len(np.intersect1d(sets[a[i]], sets[b[j]], assume_unique=True)) for i, j in zip(u, v)])
+                u, v = a[u], b[v]
+                linked = 100 * both >= percent * (size[u] + size[v] - both)
+                u, v = u[linked], v[linked]
+                if len(u):
+                    _, one = np.unique(np.stack((part[u], part[v])), axis=1, return_index=True)
+                    out.append(np.stack((cls[u[one]], cls[v[one]])))
+        a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"a": a, "b": b})
+
+    return dealt.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents whose sets of ``k``-word shingles are at least ``percent`` % alike (Jaccard).
 
@@ -184,12 +239,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     own = shared.select("band", "cls").join(part.withColumnRenamed("node", "cls"), "cls", "left").withColumn("part", F.coalesce("component", "cls")).select("band", "cls", "part")
     mixed = own.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("band")
-    rest = cut(own.join(mixed, "band").join(cls.select("cls", "row", *info), "cls"))
-    one = lambda c: rest.select("band", *[F.col(x).alias(c if x == "cls" else f"{c}{x}") for x in ["cls", "row", "part", *info]])
+    rest = own.join(mixed, "band").join(cls.select("cls", "row", *info, "bands"), "cls")
+    sizes = own.join(mixed, "band").groupBy("band").agg(F.count("*").alias("size"))
+    rest = cut(rest.join(sizes, "band").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")))
+    few, many = rest.where(F.col("size") <= SMALL), rest.where(F.col("size") > SMALL)
+    one = lambda c: few.select("band", *[F.col(x).alias(c if x == "cls" else f"{c}{x}") for x in ["cls", "row", "part", *info]])
     second = one("a").join(one("b"), "band").where((F.col("a") < F.col("b")) & (F.col("apart") != F.col("bpart")) & alike("a", "b", s)).select("a", "arow", "b", "brow").distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = cut(second.join(done, ["a", "b"], "left_anti"))
-    more = cut(verify(second, texts, k, percent))
+    more = verify(second, texts, k, percent)
+    if not many.isEmpty():
+        more = more.unionAll(compare_buckets(many, texts, k, percent, most_unlike(s)))
+    more = cut(more)
     if not more.isEmpty():
         part = components(links.unionAll(more))
 

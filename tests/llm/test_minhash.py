@@ -52,6 +52,21 @@ def test_against_brute_force(spark):
         assert got == brute(rows, k, percent)
 
 
+def test_blocks_against_brute_force(spark, monkeypatch):
+    for name, n in (("SMALL", 1), ("CHUNK", 3), ("BLOCK", 2), ("DENSE", 300)):
+        monkeypatch.setattr(minhash, name, n)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for _ in range(rng.randrange(12)):
+            w[rng.randrange(80)] = f"v{rng.randrange(500)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == brute(rows, 3, 85)
+
+
 def test_odd_rows(spark):
     t = "the same words in a row"
     df = spark.createDataFrame([(None, t), (None, t), (7, t), (7, t), (7, "others"), (5, "others"), (None, "alone")], "doc_id long, text string")
