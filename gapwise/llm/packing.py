@@ -116,9 +116,10 @@ def pack_documents(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0
     def run(batches):
         from pyspark import TaskContext
 
-        t = pa.Table.from_batches(list(batches))
-        if not t.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        t = pa.Table.from_batches(held)
         length = t.column("length").to_numpy()
         order = np.argsort(-length, kind="stable")
         t, length = t.take(pa.array(order)), length[order]
