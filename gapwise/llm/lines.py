@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PARTS = 16
+PARTS = 8
 
 
 def _words() -> Column:
@@ -37,31 +37,32 @@ def near_lines(docs: DataFrame, least: int = 20, id_col: str = "doc_id", text_co
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "no")
     firsts = lines.groupBy("h", "h2").agg(F.min(place).alias("p"))
 
-    # halves, of each line of which a near one may be removed or remove
+    # halves: keys that two different lines share
     m = _least_of_class(F.col("n"))
     m1 = _least_of_class(F.col("n") - 1)
-    halves = lines.where(F.col("n") >= least).withColumn("m", F.explode(F.when(m == m1, F.array(m)).otherwise(F.array(m, m1))))
-    halves = halves.withColumn("half", F.ceil(F.col("m") / 2).cast("int"))
-    tail = F.expr("substring(line, n - (m - half) + 1, m - half)")
-    halves = halves.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-    halves = halves.select("h", "h2", place.alias("p"), "m", "side", F.xxhash64("m", "side", F.when(F.col("side") == 0, tail).otherwise(F.expr("substring(line, 1, half)"))).alias("key"))
-    halves = halves.groupBy("key", "h", "h2").agg(F.min("p").alias("p"), F.first("m").alias("m"), F.first("side").alias("side"))
+    halves = lines.where(F.col("n") >= least).select("h", "h2", "line", "n", F.explode(F.when(m == m1, F.array(m)).otherwise(F.array(m, m1))).alias("m"))
+    tail, head = F.expr("substring(line, n - (m - ceil(m / 2)) + 1, m - ceil(m / 2))"), F.expr("substring(line, 1, ceil(m / 2))")
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.xxhash64("m", F.lit(0), tail).alias("key")), F.struct(F.lit(1).alias("side"), F.xxhash64("m", F.lit(1), head).alias("key")))
+    halves = halves.select("h", "h2", "m", F.explode(sides).alias("s")).groupBy("s.key", "h", "h2").agg(F.min(F.col("m") * 2 + F.col("s.side")).alias("ms"))
     shared = halves.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    asked = halves.join(shared, "key").select(F.col("p.row").alias("row"), F.struct("p.no", "m", "side", "key").alias("ask")).groupBy("row").agg(F.collect_list("ask").alias("asks"))
+    asked = halves.join(shared, "key").join(firsts, ["h", "h2"])
+    ask = F.struct(F.col("p.no").alias("no"), F.expr("int(ms div 2)").alias("m"), F.expr("int(ms % 2)").alias("side"), "key")
+    asked = asked.select(F.col("p.row").alias("row"), ask.alias("ask")).groupBy("row").agg(F.collect_list("ask").alias("asks"))
 
     # the other half in parts
     held = own.repartition("row")
-    opened = held.dropDuplicates(["row"]).join(asked, "row").select("id", "row", F.split("text", "\n", -1).alias("all"), F.explode("asks").alias("ask"))
-    opened = opened.select("id", "row", "ask.*", F.expr("all[ask.no]").alias("line")).withColumns({"n": F.length("line"), "half": F.ceil(F.col("m") / 2).cast("int")})
-    opened = opened.withColumn("gap", F.when(F.col("side") == 0, F.expr("substring(line, 1, n - (m - half))")).otherwise(F.expr("substring(line, half + 1)"))).drop("line")
-    opened = opened.withColumns({"step": F.greatest(F.lit(4), F.ceil(F.col("half") / PARTS)).cast("int"), "g": F.length("gap")})
-    # for side 1 the gap's least length is m - half, at most one less than half
-    opened = opened.withColumn("base", F.when(F.col("side") == 0, F.col("half")).otherwise(F.col("m") - F.col("half")))
-    opened = opened.withColumn("part", F.explode(F.expr("sequence(0, greatest(0, cast(ceil(base / step) as int) - 1))")))
-    opened = opened.withColumns({"before": F.expr("part * step"), "after": F.expr("greatest(0, base - (part + 1) * step)")})
-    opened = opened.select(place.alias("p"), "n", F.expr("xxhash64(key, part, substring(gap, 1, before), substring(gap, g - after + 1, after))").alias("key"), F.expr("substring(gap, before + 1, g - before - after)").alias("rest"))
-    several = opened.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    opened = opened.join(several, "key")
+    found = held.join(asked.hint("shuffle_hash"), "row").select("id", "row", F.split("text", "\n", -1).alias("all"), "asks")
+    found = found.select("id", "row", F.explode(F.expr("transform(asks, a -> struct(a.no as no, a.m as m, a.side as side, a.key as key, all[a.no] as line))")).alias("a"))
+    opened = found.select("id", "row", "a.no", "a.key", "a.side", "a.m", "a.line", F.length("a.line").alias("n"), F.ceil(F.col("a.m") / 2).cast("int").alias("half"))
+    gap = F.when(F.col("side") == 0, F.expr("substring(line, 1, n - (m - half))")).otherwise(F.expr("substring(line, half + 1)"))
+    # side 0 leaves at least the first half, side 1 at least the rest
+    opened = opened.select("id", "row", "no", "key", "n", gap.alias("gap"), F.when(F.col("side") == 0, F.col("half")).otherwise(F.col("m") - F.col("half")).alias("base"), F.greatest(F.lit(4), F.ceil(F.col("half") / PARTS)).cast("int").alias("step"))
+    opened = opened.withColumn("part", F.explode(F.expr("sequence(0, greatest(0, int(ceil(base / step)) - 1))")))
+    opened = opened.select("id", "row", "no", "key", "n", "gap", "part", F.expr("part * step").alias("before"), F.expr("greatest(0, base - (part + 1) * step)").alias("after"), F.length("gap").alias("g"))
+    opened = opened.select("id", "row", "no", "n", F.expr("xxhash64(key, part, substring(gap, 1, before), substring(gap, g - after + 1, after))").alias("key"), F.expr("substring(gap, before + 1, g - before - after)").alias("rest"))
+    line = F.xxhash64("row", "no")
+    several = opened.groupBy("key").agg(F.min(line).alias("x"), F.max(line).alias("y")).where("x <> y").select("key")
+    opened = opened.join(several, "key").select(place.alias("p"), "n", "key", "rest")
 
     # deletion variants: the place of a change of one character, or the string without one
     variants = opened.withColumn("at", F.explode(F.expr("sequence(0, length(rest))")))
@@ -100,7 +101,7 @@ def dedup_lines(docs: DataFrame, least: int = 20, id_col: str = "doc_id", text_c
     returned as often, with the same result. No rows give no rows.
     """
     held, stay = near_lines(docs, least, id_col, text_col)
-    x = held.join(stay, "row", "left").withColumn("all", F.split("text", "\n", -1))
+    x = held.join(stay.hint("shuffle_hash"), "row", "left").withColumn("all", F.split("text", "\n", -1))
     # lines without a word stay too
     blank = F.expr("filter(transform(all, (line, k) -> if(line rlike '[^\\\\x20\\\\x09-\\\\x0D]', -1, k)), k -> k >= 0)")
     keep = F.array_sort(F.concat(F.coalesce("stay", F.array().cast("array<int>")), blank))
