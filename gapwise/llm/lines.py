@@ -44,7 +44,8 @@ def near_lines(docs: DataFrame, least: int = 20, id_col: str = "doc_id", text_co
     tail, head = F.expr("substring(line, n - (m - ceil(m / 2)) + 1, m - ceil(m / 2))"), F.expr("substring(line, 1, ceil(m / 2))")
     sides = F.array(F.struct(F.lit(0).alias("side"), F.xxhash64("m", F.lit(0), tail).alias("key")), F.struct(F.lit(1).alias("side"), F.xxhash64("m", F.lit(1), head).alias("key")))
     halves = halves.select("h", "h2", "m", F.explode(sides).alias("s")).groupBy("s.key", "h", "h2").agg(F.min(F.col("m") * 2 + F.col("s.side")).alias("ms"))
-    shared = halves.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    # both uses of an exchange need all its columns, or the optimizer prunes one and Spark cannot reuse it
+    shared = halves.groupBy("key").agg(F.count("*").alias("size"), F.min("ms").alias("ms")).where("size > 1 and ms >= 0").select("key")
     asked = halves.join(shared, "key").join(firsts, ["h", "h2"])
     ask = F.struct(F.col("p.no").alias("no"), F.expr("int(ms div 2)").alias("m"), F.expr("int(ms % 2)").alias("side"), "key")
     asked = asked.select(F.col("p.row").alias("row"), ask.alias("ask")).groupBy("row").agg(F.collect_list("ask").alias("asks"))
@@ -60,7 +61,7 @@ def near_lines(docs: DataFrame, least: int = 20, id_col: str = "doc_id", text_co
     opened = opened.withColumn("part", F.explode(F.expr("sequence(0, greatest(0, int(ceil(base / step)) - 1))")))
     opened = opened.select("id", "row", "no", "key", "n", "gap", "part", F.expr("part * step").alias("before"), F.expr("greatest(0, base - (part + 1) * step)").alias("after"), F.length("gap").alias("g"))
     opened = opened.select("id", "row", "no", "n", F.expr("xxhash64(key, part, substring(gap, 1, before), substring(gap, g - after + 1, after))").alias("key"), F.expr("substring(gap, before + 1, g - before - after)").alias("rest"))
-    line = F.xxhash64("row", "no")
+    line = F.xxhash64("id", "row", "no")
     several = opened.groupBy("key").agg(F.min(line).alias("x"), F.max(line).alias("y")).where("x <> y").select("key")
     opened = opened.join(several, "key").select(place.alias("p"), "n", "key", "rest")
 

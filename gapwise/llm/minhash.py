@@ -238,17 +238,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     part = components(links)
 
     own = shared.select("band", "cls").join(part.withColumnRenamed("node", "cls"), "cls", "left").withColumn("part", F.coalesce("component", "cls")).select("band", "cls", "part")
-    mixed = own.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("band")
-    rest = own.join(mixed, "band").join(cls.select("cls", "row", *info, "bands"), "cls")
-    sizes = own.join(mixed, "band").groupBy("band").agg(F.count("*").alias("size"))
-    rest = cut(rest.join(sizes, "band").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")))
+    mixed = own.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("size")).where("x <> y").select("band", "size")
+    rest = cut(own.join(mixed, "band"))
     few, many = rest.where(F.col("size") <= SMALL), rest.where(F.col("size") > SMALL)
+    few = few.join(cls.select("cls", "row", *info), "cls")
     one = lambda c: few.select("band", *[F.col(x).alias(c if x == "cls" else f"{c}{x}") for x in ["cls", "row", "part", *info]])
     second = one("a").join(one("b"), "band").where((F.col("a") < F.col("b")) & (F.col("apart") != F.col("bpart")) & alike("a", "b", s)).select("a", "arow", "b", "brow").distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = cut(second.join(done, ["a", "b"], "left_anti"))
     more = verify(second, texts, k, percent)
     if not many.isEmpty():
+        many = many.withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+        many = many.join(cls.select("cls", "row", *info, "bands"), "cls")
         more = more.unionAll(compare_buckets(many, texts, k, percent, most_unlike(s)))
     more = cut(more)
     if not more.isEmpty():

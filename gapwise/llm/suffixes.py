@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,11 +181,10 @@ def _emit(length: int, hot: bool):
     """Contexts of the listed anchors, routed by their key or, if ``hot``, by the core of each block of starts."""
 
     def run(batches):
-        for b in base.slices(batches, "text", 8 << 20):
+        for b in base.slices(batches, "text", 1 << 20):
             rows, cols, ctx = [], [[] for _ in range(5)], []
             for k, (raw, asks) in enumerate(zip(base.utf8(b.column(3)), b.column(4))):
-                pos = asks.values.field("pos").to_numpy()
-                key = asks.values.field("key").to_numpy()
+                pos = np.sort(asks.values.to_numpy())
                 a, z = np.maximum(0, pos - (length - GRAM)), np.minimum(len(raw), pos + length)
                 lo, hi = np.maximum(0, length - (len(raw) - pos)), np.minimum(length - GRAM, pos)
                 if hot:
@@ -197,7 +197,8 @@ def _emit(length: int, hot: bool):
                     at, route, low, high = (np.concatenate(x) for x in zip(*parts))
                 else:
                     at = np.flatnonzero(lo <= hi)
-                    route, low, high = key[at], lo[at], hi[at]
+                    route = np.array([xxhash.xxh64_intdigest(raw[x : x + GRAM]) for x in pos[at].tolist()], np.uint64).view(np.int64)
+                    low, high = lo[at], hi[at]
                 rows.append(np.full(len(at), k))
                 for c, x in zip(cols, (route, pos[at], pos[at] - a[at], low, high)):
                     c.append(x)
@@ -223,15 +224,15 @@ def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str) ->
     whole = held.join(firsts.where(F.col("n") >= length).hint("shuffle_hash"), "row").select("id", "row", "text")
 
     def find(batches):
-        for b in base.slices(batches, "text", 8 << 20):
+        for b in base.slices(batches, "text", 1 << 20):
             text, pos, key = anchors(base.utf8(b.column(1)), length)
             row = b.column(0).take(pa.array(text))
             yield pa.RecordBatch.from_arrays([pa.array(key), row, pa.array(pos)], ["key", "row", "pos"])
 
-    found = whole.select("row", "text").mapInArrow(find, "key long, row long, pos long")
-    place_hash = F.xxhash64("row", "pos")
-    shared = found.groupBy("key").agg(F.min(place_hash).alias("x"), F.max(place_hash).alias("y"), F.count("*").alias("n")).where("x <> y").select("key", (F.col("n") > HOT).alias("hot"))
-    asks = found.join(shared, "key").groupBy("row", "hot").agg(F.collect_set(F.struct("pos", "key")).alias("asks"))
+    # all columns, or the id is pruned and the exchange of texts is not the one that the others use
+    found = whole.select("row", "text", "id").mapInArrow(find, "key long, row long, pos long")
+    shared = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > HOT).alias("hot"))
+    asks = found.join(shared, "key").groupBy("row", "hot").agg(F.collect_set("pos").alias("asks"))
 
     def contexts(hot: bool) -> DataFrame:
         some = whole.join(asks.where(F.col("hot") == hot).select("row", "asks").hint("shuffle_hash"), "row")
@@ -291,9 +292,11 @@ def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str) ->
     return held, firsts.select("row"), spans.unionByName(again)
 
 
-def merged(spans: list, n: int) -> tuple[list[int], list[int]]:
+def merged(spans: list[int]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans, each given as start * 256 + size."""
     starts, ends = [], []
-    for a, b in sorted(spans):
+    for x in sorted(spans):
+        a, b = x >> 8, (x >> 8) + (x & 255)
         if ends and a <= ends[-1]:
             ends[-1] = max(ends[-1], b)
         else:
@@ -327,17 +330,18 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         raise ValueError("length must be 88 to 128")
     held, firsts, spans = repeated_spans(docs, length, id_col, text_col)
     kind = dict(held.dtypes)["id"]
-    lists = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # a span is at most 2 * length bytes: start and size fit one long
+    lists = spans.groupBy("row").agg(F.collect_list(F.col("start") * 256 + (F.col("end") - F.col("start"))).alias("spans"))
     # one side for both facts of a row: whether its text is the first, and its spans
     facts = firsts.distinct().withColumn("first", F.lit(True)).join(lists, "row", "left")
     x = held.join(facts.hint("shuffle_hash"), "row", "left").select("id", "text", "first", "spans")
 
     def finish(batches):
-        for b in base.slices(batches, "text", 8 << 20):
+        for b in base.slices(batches, "text", 1 << 20):
             n, starts, ends, kept = [], [], [], []
             for raw, first, spans in zip(base.utf8(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 if first:
-                    s, e = merged([(x["start"], x["end"]) for x in spans or []], len(raw))
+                    s, e = merged(spans or [])
                 else:
                     s, e = ([0], [len(raw)]) if len(raw) >= length else ([], [])
                 n.append(len(raw))
