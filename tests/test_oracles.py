@@ -1,0 +1,41 @@
+import math
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from gapwise import catalog
+
+TABLES = "region nation customer supplier part orders lineitem events".split()
+
+
+def plain(x):
+    if isinstance(x, float):
+        return None if math.isnan(x) else round(x, 5) + 0.0
+    return str(x) if x is not None and not isinstance(x, (int, str, bool)) else x
+
+
+def rows(names, data):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted((tuple(plain(r[i]) for i in order) for r in data), key=str)
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_query(spark, sf, name):
+    df = catalog.QUERIES[name](spark, sf)
+    got = df.collect()
+    assert got
+    if name not in catalog.ORACLES:
+        return
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(catalog.ORACLES[name])
+    names = [c[0] for c in want.description]
+    assert sorted(names) == sorted(df.columns)
+    assert rows(df.columns, got) == rows(names, want.fetchall())
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
