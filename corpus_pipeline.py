@@ -6,31 +6,69 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gapwise.llm.langid import identify, learn
+from gapwise.llm.lines import dedup_lines
+from gapwise.llm.minhash import drop_near_duplicates
+from gapwise.llm.packing import pack_documents
+from gapwise.llm.suffixes import kept_texts
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing: every document that is left, in windows of 1024 ids."""
-    import public_tokenizers as P
+WORD = r"[^\x20\x09-\x0D]"
 
-    from gapwise.llm.packing import pack_documents
 
-    return pack_documents(docs, P.path("byte_bpe_50k.json"))
+def _again(docs: DataFrame, names: list[str]) -> DataFrame:
+    """The columns ``names``, with n_chars that fits the new text."""
+    if "n_chars" in names:
+        docs = docs.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return docs.select(*names)
 
 
-STAGES = [("packing", pack)]
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; those without a letter (``und``) go. Nulls of lang are filled in."""
+    apart = docs.select(*[F.col(f"`{c}`").alias(c if c in ("text", "doc_id") else f"c{k}") for k, c in enumerate(docs.columns)])
+    found = identify(apart, learn(docs)).where("lang_pred <> 'und'")
+    own = [F.col(c if c in ("text", "doc_id") else f"c{k}") for k, c in enumerate(docs.columns)]
+    return found.select(*[(F.coalesce(x, "lang_pred") if c == "lang" else x).alias(c) for x, c in zip(own, docs.columns)])
 
-#: Language models, suffix arrays and tokenizers are beyond SQL.
-ORACLE_SQL = None
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without near repeats of earlier lines; documents that have no word left go."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    x = dedup_lines(docs, carry=rest).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(WORD))
+    x = x.withColumnRenamed("kept_text", "text")
+    return _again(x.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else x, docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five words, similarity 0.8."""
+    return drop_near_duplicates(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 100 bytes that occur earlier; documents that have no word left go."""
+    x = kept_texts(docs)
+    return _again(x.where(~F.col("__cut") | F.col("text").rlike(WORD)), docs.columns)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gapwise-pipeline-")
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All that is left, in windows of 1024 ids."""
+    import public_tokenizers as P
+
+    return pack_documents(docs, P.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language ID", language), ("line dedup", lines), ("MinHash near-dedup", near_duplicates), ("suffix-array dedup", repeats), ("packing", packing)]
+
+#: Automata, suffix arrays and tokenizers are beyond SQL; tests/llm/test_pipeline.py has the brute force.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result goes to Parquet in the shared folder and is read again."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gapwise-pipeline-")
+    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         to = f"{folder}/{i}-{name.replace(' ', '_')}"
         stage(spark, docs, sf_dir).write.parquet(to)

@@ -19,8 +19,8 @@ def _least_of_class(n: Column) -> Column:
     return n - n % width
 
 
-def near_lines(docs: DataFrame, least: int = 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents as id, row, text; per row the numbers of the lines that stay, of those with a word).
+def near_lines(docs: DataFrame, least: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(documents as id, row, text, carried columns; per row the numbers of the lines that stay, of those with a word).
 
     See ``dedup_lines``. Three steps keep the neighbourhoods small. A pair
     within one edit has an equal first or last half, so halves are hashed first
@@ -31,7 +31,8 @@ def near_lines(docs: DataFrame, least: int = 20, id_col: str = "doc_id", text_co
     alike; a line at the edge of a class is in both. No step drops a pair.
     """
     i, t = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    own = docs.select(i.alias("id"), F.xxhash64(i, t).alias("row"), t.alias("text"))
+    own = docs.select(i.alias("id"), F.xxhash64(i, t).alias("row"), t.alias("text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)])
+    more = [f"c{k}" for k in range(len(carry))]
     lines = own.select("id", "row", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where(_words())
     lines = lines.withColumns({"h": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line"), "n": F.length("line")})
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "no")
@@ -52,17 +53,16 @@ def near_lines(docs: DataFrame, least: int = 20, id_col: str = "doc_id", text_co
 
     # the other half in parts
     held = own.repartition("row")
-    found = held.join(asked.hint("shuffle_hash"), "row").select("id", "row", F.split("text", "\n", -1).alias("all"), "asks")
-    found = found.select("id", "row", F.explode(F.expr("transform(asks, a -> struct(a.no as no, a.m as m, a.side as side, a.key as key, all[a.no] as line))")).alias("a"))
-    opened = found.select("id", "row", "a.no", "a.key", "a.side", "a.m", "a.line", F.length("a.line").alias("n"), F.ceil(F.col("a.m") / 2).cast("int").alias("half"))
+    found = held.join(asked.hint("shuffle_hash"), "row").select("id", "row", F.xxhash64("id", *more).alias("own"), F.split("text", "\n", -1).alias("all"), "asks")
+    found = found.select("id", "row", "own", F.explode(F.expr("transform(asks, a -> struct(a.no as no, a.m as m, a.side as side, a.key as key, all[a.no] as line))")).alias("a"))
+    opened = found.select("id", "row", "own", "a.no", "a.key", "a.side", "a.m", "a.line", F.length("a.line").alias("n"), F.ceil(F.col("a.m") / 2).cast("int").alias("half"))
     gap = F.when(F.col("side") == 0, F.expr("substring(line, 1, n - (m - half))")).otherwise(F.expr("substring(line, half + 1)"))
     # side 0 leaves at least the first half, side 1 at least the rest
-    opened = opened.select("id", "row", "no", "key", "n", gap.alias("gap"), F.when(F.col("side") == 0, F.col("half")).otherwise(F.col("m") - F.col("half")).alias("base"), F.greatest(F.lit(4), F.ceil(F.col("half") / PARTS)).cast("int").alias("step"))
+    opened = opened.select("id", "row", "own", "no", "key", "n", gap.alias("gap"), F.when(F.col("side") == 0, F.col("half")).otherwise(F.col("m") - F.col("half")).alias("base"), F.greatest(F.lit(4), F.ceil(F.col("half") / PARTS)).cast("int").alias("step"))
     opened = opened.withColumn("part", F.explode(F.expr("sequence(0, greatest(0, int(ceil(base / step)) - 1))")))
-    opened = opened.select("id", "row", "no", "key", "n", "gap", "part", F.expr("part * step").alias("before"), F.expr("greatest(0, base - (part + 1) * step)").alias("after"), F.length("gap").alias("g"))
-    opened = opened.select("id", "row", "no", "n", F.expr("xxhash64(key, part, substring(gap, 1, before), substring(gap, g - after + 1, after))").alias("key"), F.expr("substring(gap, before + 1, g - before - after)").alias("rest"))
-    line = F.xxhash64("id", "row", "no")
-    several = opened.groupBy("key").agg(F.min(line).alias("x"), F.max(line).alias("y")).where("x <> y").select("key")
+    opened = opened.select("id", "row", "own", "no", "key", "n", "gap", "part", F.expr("part * step").alias("before"), F.expr("greatest(0, base - (part + 1) * step)").alias("after"), F.length("gap").alias("g"))
+    opened = opened.select("id", "row", F.xxhash64("own", "row", "no").alias("line"), "no", "n", F.expr("xxhash64(key, part, substring(gap, 1, before), substring(gap, g - after + 1, after))").alias("key"), F.expr("substring(gap, before + 1, g - before - after)").alias("rest"))
+    several = opened.groupBy("key").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("key")
     opened = opened.join(several, "key").select(place.alias("p"), "n", "key", "rest")
 
     # deletion variants: the place of a change of one character, or the string without one
@@ -84,7 +84,7 @@ def near_lines(docs: DataFrame, least: int = 20, id_col: str = "doc_id", text_co
     return held, stay
 
 
-def dedup_lines(docs: DataFrame, least: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove lines that an earlier line repeats with at most one edit.
 
     Lines are what stands between line feeds; earlier is a smaller id (null ids
@@ -97,14 +97,15 @@ def dedup_lines(docs: DataFrame, least: int = 20, id_col: str = "doc_id", text_c
     edit distance of the rest that differs is at most one.
 
     Returns per row: id, n_lines, n_removed, kept_text (the lines that stay,
-    joined by line feeds; empty if none does). A null text is empty: one line
+    joined by line feeds; empty if none does), and the columns named in ``carry``
+    (of types that can be hashed). A null text is empty: one line
     without a word. Rows that repeat id and text are one document and are
     returned as often, with the same result. No rows give no rows.
     """
-    held, stay = near_lines(docs, least, id_col, text_col)
+    held, stay = near_lines(docs, least, id_col, text_col, carry)
     x = held.join(stay.hint("shuffle_hash"), "row", "left").withColumn("all", F.split("text", "\n", -1))
     # lines without a word stay too
     blank = F.expr("filter(transform(all, (line, k) -> if(line rlike '[^\\\\x20\\\\x09-\\\\x0D]', -1, k)), k -> k >= 0)")
     keep = F.array_sort(F.concat(F.coalesce("stay", F.array().cast("array<int>")), blank))
     x = x.withColumn("keep", keep)
-    return x.select(F.col("id").alias(id_col), F.size("all").cast("long").alias("n_lines"), (F.size("all") - F.size("keep")).cast("long").alias("n_removed"), F.expr("array_join(transform(keep, k -> all[k]), '\n')").alias("kept_text"))
+    return x.select(F.col("id").alias(id_col), F.size("all").cast("long").alias("n_lines"), (F.size("all") - F.size("keep")).cast("long").alias("n_removed"), F.expr("array_join(transform(keep, k -> all[k]), '\n')").alias("kept_text"), *[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)])

@@ -14,8 +14,8 @@ from .base import mix
 #: Any passage of the least length holds an anchor: the least of its GRAM-grams by hash.
 GRAM = 24
 #: A key with more contexts is split by the content around it.
-HOT = 2_000
-BATCH = 32_768
+HOT = 20_000
+BATCH = 16_384
 BLOCKS = 4
 
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -211,17 +211,18 @@ def _emit(length: int, hot: bool):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents by row, rows of first texts, (row, start, end) of repeated passages); see ``remove_repeats``."""
     base.ship(docs.sparkSession)
     i, t = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    own = docs.select(i.alias("id"), F.xxhash64(i, t).alias("row"), t.alias("text"))
+    more = [f"c{k}" for k in range(len(carry))]
+    own = docs.select(i.alias("id"), F.xxhash64(i, t).alias("row"), t.alias("text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)])
     kind = dict(own.dtypes)["id"]
     held = own.repartition("row")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     firsts = own.groupBy(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2")).agg(F.min(place).alias("p"), F.max(F.octet_length("text")).alias("n"))
     firsts = firsts.select("p.row", "n")
-    whole = held.join(firsts.where(F.col("n") >= length).hint("shuffle_hash"), "row").select("id", "row", "text")
+    whole = held.join(firsts.where(F.col("n") >= length).hint("shuffle_hash"), "row").select("id", "row", "text", *more)
 
     def find(batches):
         for b in base.slices(batches, "text", 1 << 20):
@@ -230,13 +231,13 @@ def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str) ->
             yield pa.RecordBatch.from_arrays([pa.array(key), row, pa.array(pos)], ["key", "row", "pos"])
 
     # all columns, or the id is pruned and the exchange of texts is not the one that the others use
-    found = whole.select("row", "text", "id").mapInArrow(find, "key long, row long, pos long")
+    found = whole.select("row", "text", "id", *more).mapInArrow(find, "key long, row long, pos long")
     shared = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > HOT).alias("hot"))
     asks = found.join(shared, "key").groupBy("row", "hot").agg(F.collect_set("pos").alias("asks"))
 
     def contexts(hot: bool) -> DataFrame:
         some = whole.join(asks.where(F.col("hot") == hot).select("row", "asks").hint("shuffle_hash"), "row")
-        return some.select(F.col("id").isNull().alias("none"), "id", "row", "text", "asks").mapInArrow(_emit(length, hot), ROW.format(kind=kind))
+        return some.select(F.col("id").isNull().alias("none"), "id", "row", "text", "asks", *more).mapInArrow(_emit(length, hot), ROW.format(kind=kind))
 
     # hot keys: only cores that occur twice go on, and the hot ones of them as single passages
     split = contexts(True)
@@ -305,7 +306,7 @@ def merged(spans: list[int]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each byte of a ``length``-byte passage that also starts earlier.
 
     Texts are UTF-8 bytes; earlier is a smaller id (null ids last; texts of equal
@@ -322,19 +323,20 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     aggregation. Nothing is capped or dropped.
 
     ``length`` is 64 + GRAM to 128. Returns per row: id, n_bytes, starts and ends
-    (maximal removed runs, in bytes), kept (the other bytes). A null text is
+    (maximal removed runs, in bytes), kept (the other bytes), and the columns named in
+    ``carry``. A null text is
     empty. Rows that repeat id and text are one document and get the same
     result. No rows give no rows.
     """
     if not 64 + GRAM <= length <= 128:
         raise ValueError("length must be 88 to 128")
-    held, firsts, spans = repeated_spans(docs, length, id_col, text_col)
+    held, firsts, spans = repeated_spans(docs, length, id_col, text_col, carry)
     kind = dict(held.dtypes)["id"]
     # a span is at most 2 * length bytes: start and size fit one long
     lists = spans.groupBy("row").agg(F.collect_list(F.col("start") * 256 + (F.col("end") - F.col("start"))).alias("spans"))
     # one side for both facts of a row: whether its text is the first, and its spans
     facts = firsts.distinct().withColumn("first", F.lit(True)).join(lists, "row", "left")
-    x = held.join(facts.hint("shuffle_hash"), "row", "left").select("id", "text", "first", "spans")
+    x = held.join(facts.hint("shuffle_hash"), "row", "left").select("id", "text", "first", "spans", *[f"c{k}" for k in range(len(carry))])
 
     def finish(batches):
         for b in base.slices(batches, "text", 1 << 20):
@@ -348,6 +350,29 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 starts.append(s)
                 ends.append(e)
                 kept.append(b"".join(raw[x:y] for x, y in zip([0, *e], [*s, len(raw)])) if s else raw)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.binary())], [id_col, "n_bytes", "starts", "ends", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.binary()), *b.columns[4:]], [id_col, "n_bytes", "starts", "ends", "kept", *b.schema.names[4:]])
 
-    return x.mapInArrow(finish, f"`{id_col}` {kind}, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    kinds = dict(x.dtypes)
+    rest = "".join(f", c{k} {kinds[f'c{k}']}" for k in range(len(carry)))
+    out = x.mapInArrow(finish, f"`{id_col}` {kind}, n_bytes long, starts array<long>, ends array<long>, kept binary{rest}")
+    return out.select(f"`{id_col}`", "n_bytes", "starts", "ends", "kept", *[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)])
+
+
+def kept_texts(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with what ``remove_repeats`` keeps as their texts; bytes of characters that a cut splits go too."""
+    rest = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    x = remove_repeats(docs, length, id_col, text_col, rest)
+    fields = docs.schema
+
+    def run(batches):
+        for b in batches:
+            text = [v.decode("utf-8", "ignore") if v is not None else None for v in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), *b.columns[1:]], ["__text", *b.schema.names[1:]])
+
+    from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+
+    flat = x.select("kept", F.size("starts").cast("boolean").alias("__cut"), F.col(f"`{id_col}`").alias("__id"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)])
+    schema = StructType([StructField("__text", StringType()), StructField("__cut", BooleanType()), StructField("__id", fields[id_col].dataType), *[StructField(f"c{k}", fields[c].dataType) for k, c in enumerate(rest)]])
+    y = flat.mapInArrow(run, schema)
+    named = {id_col: "__id", text_col: "__text"} | {c: f"c{k}" for k, c in enumerate(rest)}
+    return y.select(*[F.col(named[c]).alias(c) for c in docs.columns], F.col("__cut"))
