@@ -146,7 +146,8 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
 
 #: Buckets up to SMALL are joined with themselves; larger ones go in chunks, and these in blocks.
-SMALL, CHUNK, BLOCK, DENSE = 48, 1024, 256, 1 << 20
+#: A block is decided by a matrix product if its matrix has at most DENSE cells.
+SMALL, CHUNK, BLOCK, DENSE = 48, 1024, 128, 1 << 22
 
 
 def compare_buckets(rest: DataFrame, texts: DataFrame, k: int, percent: int, unlike: int) -> DataFrame:
@@ -181,8 +182,8 @@ def compare_buckets(rest: DataFrame, texts: DataFrame, k: int, percent: int, unl
                 u, v = np.nonzero(ok)
                 if not len(u):
                     continue
-                if size[a].sum() + size[b].sum() <= DENSE:
-                    every, code = np.unique(np.concatenate([sets[i] for i in (*a, *b)]), return_inverse=True)
+                every, code = np.unique(np.concatenate([sets[i] for i in (*a, *b)]), return_inverse=True)
+                if (len(a) + len(b)) * len(every) <= DENSE:
                     of = np.zeros((len(a) + len(b), len(every)), np.float32)
                     of[np.repeat(np.arange(len(of)), np.concatenate((size[a], size[b]))), code] = 1
                     both = np.rint(of[: len(a)] @ of[len(a) :].T)[u, v].astype(np.int64)
