@@ -91,4 +91,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where SQL can express the result; the tests hold the others to brute force."""
+    from .oracles import OP1, OP5, OP7, OP10
+
+    return {"op1_minhash_dedup": OP1, "op5_line_dedup": OP5, "op7_embedding_dedup": OP7, "op10_chat_format": OP10}
