@@ -70,7 +70,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
     """The same rows in batches whose ``column`` holds about ``most`` bytes, one row at least."""
     for b in batches:
         size = np.zeros(b.num_rows + 1, np.int64)
-        c = b.column(b.schema.get_field_index(column)).cast(pa.large_binary())
+        c = b.column(b.schema.get_field_index(column))
         if b.num_rows:
             np.cumsum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False), out=size[1:])
         at = 0

@@ -66,13 +66,14 @@ class Parser:
         code = {" ": 0} | {c: i + 2 for i, c in enumerate(known)}
         self.size = len(known) + 2
         self.lut = np.zeros(0x110000, np.uint8)
-        self.letter_known = False
         for c, i in code.items():
             self.lut[ord(c)] = i
         tables, self.start, at = [], [], 0
+        # an automaton has fewer than two states a letter
+        kind = np.int32 if 8 * self.size * sum(len(x) + 2 for x in samples.values()) < 2**31 else np.int64
         for lang in self.langs:
             steps = suffix_automaton([code.get(c, 1) for c in samples[lang]])
-            root = np.full(self.size, at * 4 * self.size + 1, np.int64)  # an unknown letter is a phrase
+            root = np.full(self.size, at * 4 * self.size + 1, kind)  # an unknown letter is a phrase
             for c, to in steps[0].items():
                 root[c] = (at + to) * 4 * self.size
             t = np.tile(root + 1, (len(steps), 1))  # no way on: a phrase ends, the next starts here
@@ -80,12 +81,11 @@ class Parser:
             rows = np.repeat(np.arange(len(steps)), [len(s) for s in steps])
             cols = np.fromiter((c for s in steps for c in s), np.int64, len(rows))
             t[rows, cols] = (np.fromiter((x for s in steps for x in s.values()), np.int64, len(rows)) + at) * 4 * self.size
-            tables.append(t)
+            tables.append(t.ravel())
             self.start.append(at * self.size)
             at += len(steps)
-        self.table = np.concatenate(tables).ravel()
-        if self.table.max() < 2**31:
-            self.table = self.table.astype(np.int32)
+            del steps, rows, cols, t
+        self.table = np.concatenate(tables)
         self.bits = np.array([math.log2(max(2, len(samples[x]))) for x in self.langs])
 
     def codes(self, text: str) -> tuple[np.ndarray, bool]:
@@ -149,7 +149,7 @@ def parser(samples: dict[str, str]) -> Parser:
     return _BUILT[key]
 
 
-def learn(docs: DataFrame, train_chars: int = 60_000, doc_chars: int = 5_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
+def learn(docs: DataFrame, train_chars: int = 40_000, doc_chars: int = 5_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
     """A sample of normalised text for each language of labelled ``docs``.
 
     The bound: at most ``train_chars`` characters a language, out of the first

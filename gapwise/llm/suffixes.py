@@ -250,6 +250,7 @@ def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str, car
         if not held:
             return
         t = pa.Table.from_batches(held).combine_chunks()
+        del held
         ids = t.column("id").combine_chunks().dictionary_encode()
         rank = np.argsort(np.argsort(ids.dictionary.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
         code = ids.indices.fill_null(0).to_numpy()
@@ -261,15 +262,17 @@ def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str, car
         order = order[np.concatenate(([True], ~twin))]  # rows that repeat id and text
         t = t.take(pa.array(order))
         n_left, low, high, row, pos = (t.column(c).to_numpy() for c in ("n_left", "low", "high", "row", "pos"))
-        context, family, out = t.column("context").to_pylist(), Family(length), []
-        for a in range(0, len(context), BATCH):
+        context, family, out = t.column("context"), Family(length), []
+        for a in range(0, len(row), BATCH):
             s = slice(a, a + BATCH)
-            least, most = family.add(Contexts.of(context[s], n_left[s], low[s], high[s], length))
+            least, most = family.add(Contexts.of(context[s].to_pylist(), n_left[s], low[s], high[s], length))
             some = most >= 0
             out.append((row[s][some], (pos[s] - most)[some], (pos[s] - least + length)[some]))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["row", "start", "end"])
 
-    spans = usual.repartition("route").mapInArrow(shard, "row long, start long, end long")
+    # a task holds its shard: four for each shuffle partition
+    shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spans = usual.repartition(shards, "route").mapInArrow(shard, "row long, start long, end long")
 
     def passages(batches):
         for b in batches:
@@ -306,7 +309,7 @@ def merged(spans: list[int]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """Remove each byte of a ``length``-byte passage that also starts earlier.
 
     Texts are UTF-8 bytes; earlier is a smaller id (null ids last; texts of equal
@@ -349,30 +352,21 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 n.append(len(raw))
                 starts.append(s)
                 ends.append(e)
-                kept.append(b"".join(raw[x:y] for x, y in zip([0, *e], [*s, len(raw)])) if s else raw)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.binary()), *b.columns[4:]], [id_col, "n_bytes", "starts", "ends", "kept", *b.schema.names[4:]])
+                left = b"".join(raw[x:y] for x, y in zip([0, *e], [*s, len(raw)])) if s else raw
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.string() if as_text else pa.binary()), *b.columns[4:]], [id_col, "n_bytes", "starts", "ends", "kept", *b.schema.names[4:]])
 
     kinds = dict(x.dtypes)
     rest = "".join(f", c{k} {kinds[f'c{k}']}" for k in range(len(carry)))
-    out = x.mapInArrow(finish, f"`{id_col}` {kind}, n_bytes long, starts array<long>, ends array<long>, kept binary{rest}")
+    out = x.mapInArrow(finish, f"`{id_col}` {kind}, n_bytes long, starts array<long>, ends array<long>, kept {'string' if as_text else 'binary'}{rest}")
     return out.select(f"`{id_col}`", "n_bytes", "starts", "ends", "kept", *[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)])
 
 
 def kept_texts(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with what ``remove_repeats`` keeps as their texts; bytes of characters that a cut splits go too."""
+    """``docs`` with what ``remove_repeats`` keeps as their texts, and __cut: whether a text lost anything."""
     rest = tuple(c for c in docs.columns if c not in (id_col, text_col))
-    x = remove_repeats(docs, length, id_col, text_col, rest)
-    fields = docs.schema
-
-    def run(batches):
-        for b in batches:
-            text = [v.decode("utf-8", "ignore") if v is not None else None for v in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), *b.columns[1:]], ["__text", *b.schema.names[1:]])
-
-    from pyspark.sql.types import BooleanType, StringType, StructField, StructType
-
-    flat = x.select("kept", F.size("starts").cast("boolean").alias("__cut"), F.col(f"`{id_col}`").alias("__id"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)])
-    schema = StructType([StructField("__text", StringType()), StructField("__cut", BooleanType()), StructField("__id", fields[id_col].dataType), *[StructField(f"c{k}", fields[c].dataType) for k, c in enumerate(rest)]])
-    y = flat.mapInArrow(run, schema)
-    named = {id_col: "__id", text_col: "__text"} | {c: f"c{k}" for k, c in enumerate(rest)}
-    return y.select(*[F.col(named[c]).alias(c) for c in docs.columns], F.col("__cut"))
+    # columns of the result may be named like columns of docs
+    apart = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(rest)])
+    x = remove_repeats(apart, length, "__id", "__text", tuple(f"__{k}" for k in range(len(rest))), as_text=True)
+    named = {id_col: "__id", text_col: "kept"} | {c: f"__{k}" for k, c in enumerate(rest)}
+    return x.select(*[F.col(named[c]).alias(c) for c in docs.columns], (F.size("starts") > 0).alias("__cut"))
