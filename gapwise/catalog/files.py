@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import point_if
+from ..shared import ship
 from ..sources import delimited, geojson, office
 from .base import Tables, query, rounded
 
@@ -56,6 +57,7 @@ def xlsx_source(t: Tables) -> DataFrame:
 @query(f"SELECT n_nationkey, n_name, lon, lat FROM ({NATIONS})")
 def gpkg_source(t: Tables) -> DataFrame:
     to = f"{folder(t)}/layers.gpkg"
+    ship(t.spark)
     point = F.udf(office.point_wkb, "binary")  # 25 rows of an export
     office.write_gpkg(nations(t).select("n_nationkey", "n_name", point("lon", "lat").alias("wkb")), to, "wards")
     got = office.read_gpkg(t.spark, to, "wards", "n_nationkey int, n_name string")
@@ -65,6 +67,7 @@ def gpkg_source(t: Tables) -> DataFrame:
 @query("SELECT lga_code, max(sen) AS sen FROM (SELECT n_name AS lga_code, CAST(n_regionkey AS VARCHAR) AS sen FROM nation) GROUP BY 1")
 def gpkg_lookup(t: Tables) -> DataFrame:
     to = f"{folder(t)}/lgas.gpkg"
+    ship(t.spark)
     point = F.udf(office.point_wkb, "binary")
     office.write_gpkg(t("nation").select(F.col("n_name").alias("lga_code"), F.col("n_regionkey").cast("string").alias("sen"), point(F.lit(1.0), F.lit(2.0)).alias("wkb")), to, "lgas")
     return office.attribute_lookup(office.read_gpkg(t.spark, to, "lgas", "lga_code string, sen string"), "lga_code", "sen")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import weighted_ratio
+from ..shared import ship
 
 BLOCK = 512
 
@@ -24,6 +25,7 @@ def fuzzy_best_match(rows: DataFrame, name: str, choices: DataFrame, choice: str
     scored, against the choices in blocks of ``BLOCK``: neither side is
     collected or broadcast whole, and a name returns one row for a block.
     """
+    ship(rows.sparkSession)
     known = choices.where(F.col(choice).isNotNull()).select(F.col(choice).alias("__choice")).distinct()
     out = rows.join(known, F.col(name) == F.col("__choice"), "left")
     rest = out.where(F.col("__choice").isNull() & F.col(name).isNotNull()).select(F.col(name).alias("__name")).distinct()

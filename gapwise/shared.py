@@ -1,10 +1,33 @@
-"""Cutting lineage and checking sizes."""
+"""Cutting lineage, checking sizes, and code for the executors."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Functions run on executors are pickled by reference, so the package must be
+    importable there even where the repository is only on the driver's machine.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = Path(__file__).resolve().parent
+    to = os.path.join(tempfile.mkdtemp(prefix="gapwise-"), "gapwise_package.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    sc.addPyFile(to)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import ship
+
 
 def read_geojson(spark: SparkSession, path: str, properties: str, kind: str = "LineString") -> DataFrame:
     """One row for each feature of a FeatureCollection: its place in the file, ``properties`` (DDL) and its points.
@@ -30,6 +32,7 @@ def as_geojson(rows: DataFrame, points: str, properties: list[str], kind: str =
 
 def write_geojson(rows: DataFrame, path: str, points: str, properties: list[str], kind: str = "Point") -> None:
     """A folder of FeatureCollections, one a partition, each a file that ``read_geojson`` takes."""
+    ship(rows.sparkSession)
 
     def wrap(batches):
         import pyarrow as pa

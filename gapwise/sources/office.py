@@ -18,6 +18,8 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import ship
+
 # The namespaces of a workbook's parts.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -53,6 +55,7 @@ def sheet_rows(raw: bytes, sheet: int = 0) -> list[list[str | None]]:
 
 def read_xlsx(spark: SparkSession, path: str, names: list[str], sheet: int = 0, header: int = 1) -> DataFrame:
     """Rows of a sheet as text columns, named by position, with row_index; the first ``header`` rows are left out."""
+    ship(spark)
     schema = ", ".join(["row_index long", *(f"`{n}` string" for n in names)])
 
     def run(batches):
@@ -131,6 +134,7 @@ def read_gpkg(spark: SparkSession, path: str, layer: str, attributes: str, geome
     """Features of a layer: ``attributes`` (DDL), wkb, and rings (arrays of struct(x, y))."""
     from pyspark.sql.types import StructType
 
+    ship(spark)
     schema = StructType.fromDDL(attributes)
     names = [f.name for f in schema]
 
