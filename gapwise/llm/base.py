@@ -2,60 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Words are what stands between these: space, tab, LF, VT, FF, CR. bytes.split() splits at the same.
-_SHIPPED: set[str] = set()
+from ..shared import cut, ship  # noqa: F401
+
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application.
-
-    Functions run on executors are pickled by reference, so the package must be
-    importable there even where the repository is only on the driver's machine.
-    """
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    _SHIPPED.add(sc.applicationId)
-    root = Path(__file__).resolve().parents[1]
-    to = os.path.join(tempfile.mkdtemp(prefix="gapwise-"), "gapwise_package.zip")
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, Path(root.name) / p.relative_to(root))
-    sc.addPyFile(to)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` read back from a reliable checkpoint, its lineage cut.
-
-    The folder is that of spark.checkpoint.dir; only where none is set (tests,
-    a notebook) a local one is made. checkpoint() hands on the size estimates of
-    the plan that it replaces; over rounds of joins these square again and again
-    until the driver only multiplies large integers, so the rows are wrapped anew.
-    Spark removes the files when nothing refers to them.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gapwise-cp-"))
-    kept = df.checkpoint(eager=True)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
-
-
 def utf8(column: pa.Array) -> list[bytes]:
     """Cells of a string column as UTF-8 bytes; a null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
