@@ -63,7 +63,8 @@ def near_lines(docs: DataFrame, least: int = 20, id_col: str = "doc_id", text_co
     opened = opened.select("id", "row", "own", "no", "key", "n", "gap", "part", F.expr("part * step").alias("before"), F.expr("greatest(0, base - (part + 1) * step)").alias("after"), F.length("gap").alias("g"))
     opened = opened.select("id", "row", F.xxhash64("own", "row", "no").alias("line"), "no", "n", F.expr("xxhash64(key, part, substring(gap, 1, before), substring(gap, g - after + 1, after))").alias("key"), F.expr("substring(gap, before + 1, g - before - after)").alias("rest"))
     several = opened.groupBy("key").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("key")
-    opened = opened.join(several, "key").select(place.alias("p"), "n", "key", "rest")
+    # with line, which stands for all columns of the document: see above on exchanges
+    opened = opened.join(several, "key").select(F.struct(F.col("id").isNull().alias("none"), "id", "row", "no", "line").alias("p"), "n", "key", "rest")
 
     # deletion variants: the place of a change of one character, or the string without one
     variants = opened.withColumn("at", F.explode(F.expr("sequence(0, length(rest))")))
