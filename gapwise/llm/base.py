@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +16,28 @@ from ..shared import cut, ship  # noqa: F401
 
 
 
+_CACHES: dict = {}
+
+
+def cache(name: str, held, clear) -> None:
+    """Name what a module keeps in a Python worker: ``held()`` tells whether there is anything."""
+    _CACHES[name] = (held, clear)
+
+
+def claim(name: str) -> None:
+    """Free what other operators have kept in this worker, which Spark uses again and again."""
+    freed = False
+    for other, (held, clear) in _CACHES.items():
+        if other != name and held():
+            clear()
+            freed = True
+    if freed:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,6 +30,9 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+base.cache("bpe", lambda: encoding.cache_info().currsize, encoding.cache_clear)
+
+
 def safe_pieces(text: str, size: int = LONG) -> Iterator[str]:
     """``text`` in pieces of about ``size`` characters, cut only where the pattern always splits.
 
@@ -68,6 +71,7 @@ def transcode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def run(batches):
+        base.claim("bpe")
         enc = encoding(path, pattern)
         for b in base.slices(batches, text_col, 8 << 20):
             n, ids, raw = [], [], []

@@ -61,6 +61,7 @@ def section_counts(docs: DataFrame, path: str, rule: str = "start", section: re.
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def run(batches):
+        base.claim("ids")
         enc = ids_of(path)
         for b in base.slices(batches, text_col, 4 << 20):
             parts = [[] for _ in range(5)]

@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from . import bpe
+from . import base, bpe
 
 #: Fixed value: the pattern that the byte-level pre-tokenizer splits by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -65,3 +65,6 @@ class Ids:
 @lru_cache(2)
 def ids(path: str) -> Ids:
     return Ids(path)
+
+
+base.cache("ids", lambda: ids.cache_info().currsize, ids.cache_clear)

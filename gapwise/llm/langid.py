@@ -15,6 +15,7 @@ from . import base
 
 SEGMENT = 1024
 _BUILT: dict[str, Parser] = {}
+base.cache("langid", lambda: len(_BUILT), _BUILT.clear)
 
 
 def normal(text: str) -> str:
@@ -192,6 +193,7 @@ def identify(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", t
     schema = StructType([*frame.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches):
+        base.claim("langid")
         p = parser(held.value) if held.value else None
         for b in base.slices(batches, text_col, 4 << 20):
             n = b.num_rows

@@ -31,6 +31,7 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+base.cache("minhash", lambda: len(_HASHES), _HASHES.clear)
 
 
 def shingles(raw: bytes, k: int) -> np.ndarray:
@@ -88,6 +89,7 @@ def sketches(docs: DataFrame, k: int, similarity: float, id_col: str, text_col:
     rows, bands = shape(similarity)
 
     def run(batches):
+        base.claim("minhash")
         for b in base.slices(batches, "text", 8 << 20):
             sets = [shingles(t, k) for t in base.utf8(b.column(2))]
             some = np.array([len(s) > 0 for s in sets], bool)

@@ -77,6 +77,7 @@ def cut_documents(docs: DataFrame, path: str, size: int, end_id: int = 0, id_col
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def run(batches):
+        base.claim("ids")
         enc = ids_of(path)
         for b in base.slices(batches, text_col, 8 << 20):
             rows, start, length, crc, total = [], [], [], [], []

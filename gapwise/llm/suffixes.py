@@ -181,6 +181,7 @@ def _emit(length: int, hot: bool):
     """Contexts of the listed anchors, routed by their key or, if ``hot``, by the core of each block of starts."""
 
     def run(batches):
+        base.claim("suffixes")
         for b in base.slices(batches, "text", 1 << 20):
             rows, cols, ctx = [], [[] for _ in range(5)], []
             for k, (raw, asks) in enumerate(zip(base.utf8(b.column(3)), b.column(4))):
@@ -225,6 +226,7 @@ def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str, car
     whole = held.join(firsts.where(F.col("n") >= length).hint("shuffle_hash"), "row").select("id", "row", "text", *more)
 
     def find(batches):
+        base.claim("suffixes")
         for b in base.slices(batches, "text", 1 << 20):
             text, pos, key = anchors(base.utf8(b.column(1)), length)
             row = b.column(0).take(pa.array(text))
@@ -246,6 +248,7 @@ def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str, car
     usual = contexts(False).unionByName(split.where(F.col("n") <= HOT).drop("n"))
 
     def shard(batches):
+        base.claim("suffixes")
         held = [b for b in batches if b.num_rows]
         if not held:
             return
@@ -342,6 +345,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     x = held.join(facts.hint("shuffle_hash"), "row", "left").select("id", "text", "first", "spans", *[f"c{k}" for k in range(len(carry))])
 
     def finish(batches):
+        base.claim("suffixes")
         for b in base.slices(batches, "text", 1 << 20):
             n, starts, ends, kept = [], [], [], []
             for raw, first, spans in zip(base.utf8(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
