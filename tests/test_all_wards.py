@@ -1,0 +1,19 @@
+import pytest
+
+from gapwise import catalog
+
+NAMES = ["nearest_node", "network_access", "gap_classification", "most_severe_gaps", "ward_summary"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_every_customer_is_an_origin(spark, sf, name):
+    wards = {r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+    got = [r.ward for r in catalog.QUERIES[f"{name}_all"](spark, sf).collect()]
+    assert len(got) == len(set(got))
+    if name == "most_severe_gaps":
+        kinds = {}
+        for r in catalog.QUERIES["gap_classification_all"](spark, sf).collect():
+            kinds.setdefault(r.gap_type, []).append((r.adequate_min is not None, -(r.adequate_min or 0), r.ward))
+        assert set(got) == {x[2] for rows in kinds.values() for x in sorted(rows)[:15]}
+    else:
+        assert set(got) == wards
