@@ -83,7 +83,7 @@ def measure(raw: bytes, window: int, least: int) -> tuple[int, int, int, int, in
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat"]
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, window: int = 5, max_window_percent: int = 20, min_repeat: int = 10, max_covered: float = 0.2, max_longest: int = 50) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, window: int = 5, max_window_percent: int = 20, min_repeat: int = 10, max_covered: float = 0.15, max_longest: int = 50) -> DataFrame:
     """Measures of each whole text, and whether it is kept.
 
     Words are runs of anything but space, tab, LF, VT, FF and CR. base_failed:
@@ -91,7 +91,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     in repeats of at least ``window`` words. kept: base did not fail, repeats of
     at least ``min_repeat`` words cover at most ``max_covered`` of the words, and
     the longest repeat (a passage and its copy, which may overlap) has at most
-    ``max_longest`` words. A null, empty or blank text has zeros, fails the base
+    ``max_longest`` words. ``max_covered`` is below the base limit, which no row
+    past the base could exceed with its longer repeats alone. A null, empty or blank text has zeros, fails the base
     and is not kept. Each row is measured on its own; ids may be null or repeat.
     """
     base.ship(docs.sparkSession)
