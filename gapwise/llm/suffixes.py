@@ -137,9 +137,15 @@ def repeats(all_of: Contexts, fresh: int, length: int) -> tuple[np.ndarray, np.n
                 continue
             by_right[ro] = np.concatenate(([0], np.cumsum(rl < length - j))).astype(np.uint64)
             by_left[lo] = np.concatenate(([0], np.cumsum(ll < j))).astype(np.uint64)
-            x = np.sort((((by_left[v] << bits) | by_right[v]) << bits) | v.astype(np.uint64))
-            again = x[1:][(x[1:] >> bits) == (x[:-1] >> bits)] & ((np.uint64(1) << bits) - np.uint64(1))
-            again = again.astype(np.int64)
+            pair = (by_left[v] << bits) | by_right[v]
+            if 3 * int(bits) <= 64:
+                x = np.sort((pair << bits) | v.astype(np.uint64))
+                again = x[1:][(x[1:] >> bits) == (x[:-1] >> bits)] & ((np.uint64(1) << bits) - np.uint64(1))
+                again = again.astype(np.int64)
+            else:  # the index does not fit beside the pair
+                order = np.argsort(pair, kind="stable")
+                x = pair[order]
+                again = v[order[1:][x[1:] == x[:-1]]]
             most[again] = j
             least[again] = np.minimum(least[again], j)
     return least[fresh:], most[fresh:]
