@@ -51,9 +51,10 @@ def near_lines(docs: DataFrame, least: int = 20, id_col: str = "doc_id", text_co
     ask = F.struct(F.col("p.no").alias("no"), F.expr("int(ms div 2)").alias("m"), F.expr("int(ms % 2)").alias("side"), "key")
     asked = asked.select(F.col("p.row").alias("row"), ask.alias("ask")).groupBy("row").agg(F.collect_list("ask").alias("asks"))
 
-    # the other half in parts
+    # the other half in parts; own is always 0, so that rows of one document that differ in carried columns have
+    # the same places, but reads all columns, so that the exchange of texts stays the one that the result uses
     held = own.repartition("row")
-    found = held.join(asked.hint("shuffle_hash"), "row").select("id", "row", F.xxhash64("id", *more).alias("own"), F.split("text", "\n", -1).alias("all"), "asks")
+    found = held.join(asked.hint("shuffle_hash"), "row").select("id", "row", F.pmod(F.xxhash64("id", *more), F.lit(1)).alias("own"), F.split("text", "\n", -1).alias("all"), "asks")
     found = found.select("id", "row", "own", F.explode(F.expr("transform(asks, a -> struct(a.no as no, a.m as m, a.side as side, a.key as key, all[a.no] as line))")).alias("a"))
     opened = found.select("id", "row", "own", "a.no", "a.key", "a.side", "a.m", "a.line", F.length("a.line").alias("n"), F.ceil(F.col("a.m") / 2).cast("int").alias("half"))
     gap = F.when(F.col("side") == 0, F.expr("substring(line, 1, n - (m - half))")).otherwise(F.expr("substring(line, half + 1)"))
@@ -63,7 +64,7 @@ def near_lines(docs: DataFrame, least: int = 20, id_col: str = "doc_id", text_co
     opened = opened.select("id", "row", "own", "no", "key", "n", "gap", "part", F.expr("part * step").alias("before"), F.expr("greatest(0, base - (part + 1) * step)").alias("after"), F.length("gap").alias("g"))
     opened = opened.select("id", "row", F.xxhash64("own", "row", "no").alias("line"), "no", "n", F.expr("xxhash64(key, part, substring(gap, 1, before), substring(gap, g - after + 1, after))").alias("key"), F.expr("substring(gap, before + 1, g - before - after)").alias("rest"))
     several = opened.groupBy("key").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("key")
-    # with line, which stands for all columns of the document: see above on exchanges
+    # with line, which reads all columns of the document: see above on exchanges
     opened = opened.join(several, "key").select(F.struct(F.col("id").isNull().alias("none"), "id", "row", "no", "line").alias("p"), "n", "key", "rest")
 
     # deletion variants: the place of a change of one character, or the string without one
