@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwise.llm.langid import identify, learn
+from gapwise.llm.langid import identify, learn, with_letter
 from gapwise.llm.lines import dedup_lines
 from gapwise.llm.minhash import drop_near_duplicates
 from gapwise.llm.packing import pack_documents
@@ -25,9 +25,17 @@ def _again(docs: DataFrame, names: list[str]) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter (``und``) go. Nulls of lang are filled in."""
+    """Documents with a language; those without a letter (``und``) go. Nulls of lang are filled in.
+
+    If nothing can be learned (no labelled document has a letter), the documents
+    with a letter stay as they are, with a null lang where it was null.
+    """
     apart = docs.select(*[F.col(f"`{c}`").alias(c if c in ("text", "doc_id") else f"c{k}") for k, c in enumerate(docs.columns)])
-    found = identify(apart, learn(docs)).where("lang_pred <> 'und'")
+    samples = learn(docs)
+    if samples:
+        found = identify(apart, samples).where("lang_pred <> 'und'")
+    else:
+        found = with_letter(apart).withColumn("lang_pred", F.lit(None).cast("string"))
     own = [F.col(c if c in ("text", "doc_id") else f"c{k}") for k, c in enumerate(docs.columns)]
     return found.select(*[(F.coalesce(x, "lang_pred") if c == "lang" else x).alias(c) for x, c in zip(own, docs.columns)])
 

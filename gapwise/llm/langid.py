@@ -214,6 +214,18 @@ def identify(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", t
     return frame.mapInArrow(run, schema)
 
 
+def with_letter(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a letter, by the rule of ``identify``; other columns pass through unread."""
+    base.ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in base.slices(batches, text_col, 4 << 20):
+            yield b.filter(pa.array([any(map(str.isalpha, t.lower())) for t in base.strings(b.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     """Documents that op2 may learn from."""
     return docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
