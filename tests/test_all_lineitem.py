@@ -1,0 +1,6 @@
+from gapwise import catalog
+
+
+def test_dedupe_reads_the_whole_table(spark, sf):
+    n = len({(r.l_orderkey, r.l_linenumber, r.l_quantity) for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect()})
+    assert tuple(catalog.QUERIES["dedupe_rows_all"](spark, sf).first()) == (2 * n, n, n)
