@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def first_per_key(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key by ``order``; ties need a last column that tells rows apart."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    return rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank")  # each task keeps one row a key before the shuffle
 
 
 def top_per_group(rows: DataFrame, by: str, n: int, *order: Column, rank: str = "severity_rank") -> DataFrame:
@@ -73,18 +73,24 @@ def pick_by_rule(rows: DataFrame, key: str, trusted: Column, remark: Column, ord
 def forward_fill(rows: DataFrame, columns: list[str], order: str, within: list[str] | None = None) -> DataFrame:
     """Blank cells take the last value above, in file order.
 
-    Without ``within`` the order is that of one file: rows are split by ranges of
-    ``order``, filled inside each range, and the last value of the ranges before
-    is carried in, so no task sees all rows.
+    Without ``within`` the order is that of one file and ``order`` is a number,
+    the row's place. Rows are split into ranges of equal width between the
+    column's least and most, which are read first and stand in the plan as
+    constants: the range of a row is a function of its place alone, however the
+    plan is run. Each range is filled by itself and the last value of the ranges
+    before is carried in, so no task sees all rows. A null place comes first.
     """
     if within:
         w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return rows.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
-    ranged = rows.repartitionByRange(order).withColumn("__range", F.spark_partition_id())
+    least, most = rows.agg(F.min(order), F.max(order)).first()
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = ((most - least) / ranges if least is not None else 0) or 1
+    ranged = rows.withColumn("__range", F.coalesce(F.floor((F.col(order) - F.lit(least)) / F.lit(step)).cast("int"), F.lit(-1)))
     w = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = ranged.withColumns({f"__{c}": F.last(c, ignorenulls=True).over(w) for c in columns})
-    last = ranged.groupBy("__range").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    last = ranged.groupBy("__range").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.coalesce(F.col(order), F.lit(least)))).alias(c) for c in columns])
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range, ranges + 2 at most
     carried = last.select("__range", *[F.last(c, ignorenulls=True).over(before).alias(f"__carried_{c}") for c in columns])
-    out = inside.join(F.broadcast(carried), "__range")
+    out = inside.join(F.broadcast(carried), "__range", "left")
     return out.select(*[F.coalesce(f"__{c}", f"__carried_{c}").alias(c) if c in columns else F.col(c) for c in rows.columns])

@@ -17,6 +17,31 @@ def test_forward_fill_over_ranges(spark):
     assert got == {i: "s%d" % (i - i % 7) for i in range(200)}
 
 
+def test_forward_fill_loses_no_row(spark, tmp_path):
+    n = 1_000_000
+    at = F.col("id")
+    wide = {f"x{k}": F.concat(F.lit("text "), at * (k + 3)) for k in range(4)}
+    block = F.floor(at / 997) * 997
+    rows = spark.range(n).withColumns(wide).withColumns({"row_index": at, "state": F.when(at % 997 == 0, F.concat(F.lit("s"), at)), "area": F.when(at % 500_001 == 3, at)})
+    rows = rows.drop("id").repartition(23)
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    tables.forward_fill(rows, ["state", "area"], "row_index").write.parquet(f"{tmp_path}/filled")
+    got = spark.read.parquet(f"{tmp_path}/filled")
+    at, block = F.col("row_index"), F.floor(F.col("row_index") / 997) * 997
+    good = (F.col("state") == F.concat(F.lit("s"), block)) & F.col("area").eqNullSafe(F.when(at >= 500_004, 500_004).when(at >= 3, 3))
+    for k in range(4):
+        good &= F.col(f"x{k}") == F.concat(F.lit("text "), at * (k + 3))
+    assert tuple(got.agg(F.count("*"), F.count_distinct("row_index"), F.count_if(good)).first()) == (n, n, n)
+
+
+def test_forward_fill_odd_places(spark):
+    ddl = "row_index long, state string"
+    got = lambda data: sorted(map(str, map(tuple, tables.forward_fill(spark.createDataFrame(data, ddl), ["state"], "row_index").collect())))
+    assert got([]) == []
+    assert got([(5, None)]) == ["(5, None)"]
+    assert got([(None, "a"), (-3, None), (10**12, None), (7, "b")]) == sorted(["(None, 'a')", "(-3, 'a')", f"({10**12}, 'b')", "(7, 'b')"])
+
+
 def test_pick_by_rule_keeps_null_keys(spark):
     rows = [(0, "a", "x", None), (1, "a", "y", "Gazette"), (2, "b", "t", None), (3, "b", "u", None), (4, None, "q", None), (5, None, "r", None)]
     df = spark.createDataFrame(rows, "i int, k string, sen string, remarks string")
