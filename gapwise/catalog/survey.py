@@ -77,17 +77,9 @@ def weighted_vs_unweighted(t: Tables) -> DataFrame:
     return rounded(survey.weighting_effect(analysed(t), "dose_yes", "final_weight"))
 
 
-@query("SELECT 2 * count(*) AS n_before, count(*) AS n_after, count(*) AS n_dropped FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity FROM lineitem)")
-def dedupe_rows_all(t: Tables) -> DataFrame:
-    """Over the whole table; ``dedupe_rows`` reads the part that its SQL has."""
-    x = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity").distinct()
-    return survey.dedupe_rows(x.unionByName(x))[1]
-
-
-@query("SELECT 2 * count(*) AS n_before, count(*) AS n_after, count(*) AS n_dropped FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'R')")
+@query("SELECT count(*) AS n_before, (SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_quantity, l_returnflag FROM lineitem)) AS n_after, count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_quantity, l_returnflag FROM lineitem)) AS n_dropped FROM lineitem")
 def dedupe_rows(t: Tables) -> DataFrame:
-    x = t("lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_quantity").distinct()
-    return survey.dedupe_rows(x.unionByName(x))[1]
+    return survey.dedupe_rows(t("lineitem").select("l_suppkey", "l_quantity", "l_returnflag"))[1]
 
 
 EVENT = "CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import share
-from .describe import with_global
+from .describe import quantiles, with_global
 
 
 def outcome_zscores(rows: DataFrame, by: str, y: str, limit: float = 2.0) -> DataFrame:
@@ -22,12 +22,12 @@ def outcome_zscores(rows: DataFrame, by: str, y: str, limit: float = 2.0) -> Dat
 def duration_stats(rows: DataFrame, by: str, x: str) -> DataFrame:
     """Mean, least, most and number of non-null durations by interviewer, with the exact median of all."""
     own = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("n"))
-    return with_global(own, rows.agg(F.median(x).alias("median_all")))
+    return own.withColumn("median_all", F.lit(quantiles(rows, x, [0.5])[0]).cast("double"))
 
 
 def below_quantile(rows: DataFrame, x: str, q: float = 0.05) -> DataFrame:
     """Rows under the exact ``q`` quantile (linear interpolation) of ``x``."""
-    return with_global(rows, rows.agg(F.percentile(x, q).alias("cutoff"))).where(F.col(x) < F.col("cutoff"))
+    return rows.withColumn("cutoff", F.lit(quantiles(rows, x, [q])[0]).cast("double")).where(F.col(x) < F.col("cutoff"))
 
 
 def fieldwork_rollup(log: DataFrame, by: str, attempted: str, completed: str, duration: str, checked: str, verified: str, yes: str = "Yes") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import differs, total
+from ..shared import cut
 
 ALL = "ALL"
 
@@ -37,14 +40,16 @@ def ratio_estimates(rows: DataFrame, y: str, w: str, stratum: str, cluster: str,
     weight are in neither sum but count in n.
     """
     c = rows.groupBy(F.col(stratum).alias("stratum"), F.col(cluster).alias("cluster")).agg(total(F.col(w) * F.col(y)).alias("num"), total(F.col(w)).alias("den"), F.count("*").alias("n"), total(F.col(y).cast("double")).alias("sum_y"))
-    c = c.withColumn("domain", F.explode(F.array(F.lit(ALL), F.col("stratum").cast("string"))))
-    whole = Window.partitionBy("domain")
-    c = c.withColumns({"weights": F.sum("den").over(whole), "ratio": F.try_divide(F.sum("num").over(whole), F.sum("den").over(whole))})
-    c = c.withColumn("e", F.col("num") - F.col("ratio") * F.col("den"))
-    one = Window.partitionBy("domain", "stratum")
-    c = c.withColumns({"off": F.col("e") - F.avg("e").over(one), "n_h": F.count("*").over(one)})
-    c = c.withColumn("part", F.when(F.col("n_h") > 1, F.col("n_h") / (F.col("n_h") - 1) * F.col("off") * F.col("off")).otherwise(0.0))
-    d = c.groupBy("domain").agg(F.sum("n").alias("n"), F.first("ratio").alias("coverage"), F.sum("part").alias("var"), F.first("weights").alias("weights"), F.sum("sum_y").alias("sum_y"))
+    c = cut(c).withColumn("domain", F.explode(F.array(F.lit(ALL), F.col("stratum").cast("string"))))
+    # sums with partial aggregation, joined back: ALL is never one task's window
+    d = c.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("num").alias("y"), F.sum("den").alias("weights"), F.sum("sum_y").alias("sum_y"))
+    d = d.withColumn("coverage", F.try_divide("y", "weights"))
+    same = lambda *names: reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"__{x}")) for x in names])
+    e = c.join(d.select(F.col("domain").alias("__domain"), "coverage"), same("domain")).withColumn("e", F.col("num") - F.col("coverage") * F.col("den")).select("domain", "stratum", "e")
+    mean = e.groupBy(F.col("domain").alias("__domain"), F.col("stratum").alias("__stratum")).agg(F.avg("e").alias("mean"), F.count("*").alias("n_h"))
+    off = e.join(mean, same("domain", "stratum")).withColumn("off", F.col("e") - F.col("mean"))
+    part = F.when(F.col("n_h") > 1, F.col("n_h") / (F.col("n_h") - 1) * F.col("off") * F.col("off")).otherwise(0.0)
+    d = d.join(off.groupBy(F.col("domain").alias("__domain")).agg(F.sum(part).alias("var")), same("domain"), "left")
     d = d.withColumn("se", F.try_divide(F.sqrt("var"), F.col("weights")))
     srs = F.try_divide(F.col("coverage") * (1 - F.col("coverage")), F.col("n"))
     d = d.withColumn("deff", F.try_divide(F.col("se") * F.col("se"), srs))

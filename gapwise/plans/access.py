@@ -46,10 +46,15 @@ def clean_register(register: DataFrame, crosswalk: DataFrame, threshold: float =
 
 
 def classify_adequacy(facilities: DataFrame, personnel: DataFrame, norms: DataFrame) -> DataFrame:
-    """Facilities with their staff, norms and adequacy_status; the last norm of a type counts."""
+    """Facilities with their staff, norms and adequacy_status.
+
+    The last norm of a type counts, whole: the one with the most ``row_index``
+    if ``norms`` has that column (its place in the file), else the greatest by its minima.
+    """
     counts = [c for c, _ in rules.CADRES]
     minima = [m for _, m in rules.CADRES]
-    last = norms.groupBy("facility_type").agg(*[F.last(m).alias(m) for m in minima])
+    place = [F.col("row_index")] if "row_index" in norms.columns else []
+    last = norms.groupBy("facility_type").agg(F.max(F.struct(*place, *minima)).alias("n")).select("facility_type", *[f"n.{m}" for m in minima])
     x = facilities.join(personnel.select("facility_id", *counts), "facility_id", "left").join(last.withColumn("__known", F.lit(True)), "facility_type", "left")
     return x.withColumn("adequacy_status", rules.adequacy(F.col("__known").isNotNull(), F.col("med_officers").isNotNull())).drop("__known")
 
@@ -67,10 +72,10 @@ def classify_gaps(wards: DataFrame, facilities: DataFrame, roads: DataFrame, thr
     nodes = ends.select(key.alias("node_id"), F.col("p.x").alias("lon"), F.col("p.y").alias("lat"))
     text = lambda c: F.concat_ws(" ", F.col(f"{c}.x").cast("string"), F.col(f"{c}.y").cast("string"))
     edges = network.both_ways(g.select(text("a").alias("a"), text("b").alias("b"), "weight"))
-    near = lambda f: network.nearest_by_network(wards, f, nodes, edges, "ward_code", "facility_id")
-    a = near(facilities.where("adequacy_status = 'adequate'")).select("ward_code", F.col("minutes").alias("travel_time_to_adequate_min"), F.col("facility_id").alias("nearest_adequate_facility_id"))
-    b = near(facilities).select("ward_code", F.col("minutes").alias("travel_time_to_any_facility_min"), F.col("facility_id").alias("nearest_any_facility_id"))
-    x = wards.join(a, "ward_code", "left").join(b, "ward_code", "left")
+    both = {"adequate": F.col("adequacy_status") == "adequate", "any": F.lit(True)}
+    near = network.nearest_by_network(wards, facilities, nodes, edges, "ward_code", "facility_id", both)
+    near = near.select("ward_code", F.col("adequate_minutes").alias("travel_time_to_adequate_min"), F.col("adequate_facility_id").alias("nearest_adequate_facility_id"), F.col("any_minutes").alias("travel_time_to_any_facility_min"), F.col("any_facility_id").alias("nearest_any_facility_id"))
+    x = wards.join(near, "ward_code", "left")
     return x.withColumn("gap_type", rules.gap_type(F.col("travel_time_to_adequate_min"), F.col("travel_time_to_any_facility_min"), threshold))
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gapwise.functions import rules
 from gapwise.operators import matching, network, survey, tables
 from gapwise.plans import access, coverage
 from gapwise.sources import office
@@ -80,6 +81,59 @@ def test_both_shortest_path_forms_agree(spark):
     assert read(network.shortest_paths(s, e)) == read(network.relaxed_paths(s, e))
 
 
+def test_least_ways_forms_agree(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(rng.randrange(40), rng.randrange(40), float(rng.randrange(1, 9))) for _ in range(60)]
+    e = network.both_ways(spark.createDataFrame([x for x in edges if x[0] != x[1]], "a long, b long, weight double"))
+    starts = [(g, rng.randrange(45), float(rng.randrange(4)), f"t{k}") for g in ("p", "q") for k in range(6)]
+    s = spark.createDataFrame(starts, "grp string, node long, off double, target string")
+    want = {}
+    for r in network.relaxed_paths(spark.createDataFrame(sorted({(x[1],) for x in starts}), "source long"), e).collect():
+        for g, n, off, t in starts:
+            if n == r.source:
+                want[g, r.node] = min(want.get((g, r.node), (1e9, "")), (off + r.cost, t))
+    read = lambda df: {(r.grp, r.node): (r.way, r.target) for r in df.collect()}
+    assert read(network.least_ways(s, e)) == want
+    monkeypatch.setattr(network, "EDGES_AT_HAND", 1)
+    assert read(network.least_ways(s, e)) == want
+
+
+def test_nearest_node_by_cells(spark, monkeypatch):
+    rng = random.Random(2)
+    nodes = [(k, round(rng.uniform(2, 9), 3), round(rng.uniform(4, 13), 3)) for k in range(300)] + [(300, 179.9, 5.0), (301, 3.0, 5.0), (302, 3.0, 5.0)]
+    points = [(k, round(rng.uniform(1, 11), 3), round(rng.uniform(3, 15), 3)) for k in range(200)] + [(200, -179.9, 5.0), (201, 100.0, -60.0), (202, None, 5.0), (203, 3.0, 5.0), (204, 0.0, 89.9)]
+    n, p = spark.createDataFrame(nodes, "node_id long, lon double, lat double"), spark.createDataFrame(points, "i long, lon double, lat double")
+    read = lambda: {r.i: (r.node_id, r.node_km and round(r.node_km, 9)) for r in network.nearest_node(p, "lon", "lat", n).collect()}
+    want = read()
+    assert want[203] == (301, 0.0) and want[200][0] == 300 and want[202] == (None, None)
+    monkeypatch.setattr(network, "BLOCK", 50)
+    assert read() == want
+
+
+def test_quantiles(spark, monkeypatch):
+    import numpy as np
+
+    from gapwise.operators import describe
+
+    monkeypatch.setattr(describe, "AT_HAND", 30)
+    monkeypatch.setattr(describe, "ERROR", 0.01)
+    rng = np.random.default_rng(3)
+    for v in ([], [4.0], [2.0] * 500, rng.normal(0, 1, 900).tolist(), (10.0 ** rng.uniform(-300, 300, 800)).tolist(), rng.integers(0, 5, 700).astype(float).tolist() + [1e308, -1e308]):
+        rows = spark.createDataFrame([(x,) for x in [*v, None, float("nan")]], "x double")
+        want = np.quantile(v, [0.05, 0.25, 0.5, 1.0]).tolist() if v else [None] * 4
+        got = describe.quantiles(rows, "x", [0.05, 0.25, 0.5, 1.0])
+        assert got == want or got == pytest.approx(want, rel=1e-12)
+
+
+def test_last_norm_of_a_type_counts(spark):
+    minima = [m for _, m in rules.CADRES]
+    norms = spark.createDataFrame([("Post", 1, 5, 0, 0, 0, 0), ("Post", 2, 0, 2, 0, 0, 0)], "facility_type string, row_index int, " + ", ".join(f"{m} int" for m in minima)).repartition(3)
+    facilities = spark.createDataFrame([("F", "Post")], "facility_id string, facility_type string")
+    staff = spark.createDataFrame([("F", 0, 2, 0, 0, 0)], "facility_id string, " + ", ".join(f"{c} int" for c, _ in rules.CADRES))
+    r = access.classify_adequacy(facilities, staff, norms).first()
+    assert [r[m] for m in minima] == [0, 2, 0, 0, 0] and r.adequacy_status == "adequate"
+
+
 def test_last_parallel_road_counts(spark):
     p = [(1.0, 1.0), (2.0, 1.0)]
     lines = spark.createDataFrame([(0, 10.0, p), (1, 20.0, p[::-1])], "line long, speed double, points array<struct<x: double, y: double>>")
