@@ -4,12 +4,16 @@ The library itself encodes these texts at about 3 MB a second and core. Its ids
 are fixed by the file's vocabulary and merges, so they are handed to the
 tiktoken core, which gives the same ids four times as fast; the tests hold the
 two equal. A file whose ids do not follow its merges is left to the library.
+
+As in the library's plain call, the text of a special token (``<|endoftext|>``)
+inside a document is that token.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -35,15 +39,22 @@ class Ids:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, letters = spec["model"]["vocab"], byte_letters()
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        special = {t["content"]: t["id"] for t in added}
+        plain = not any(t.get(x) for t in added for x in ("single_word", "lstrip", "rstrip"))
         ranks = {bytes(map(letters.__getitem__, t)): i for t, i in vocab.items() if t not in special}
         merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
         pre = spec.get("pre_tokenizer") or {}
         usual = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.width = np.zeros(max([*vocab.values(), *special.values()]) + 1, np.int64)
         for t, i in ranks.items():
             self.width[i] = len(t)
-        if usual and merged == sorted(merged) and len(ranks) == 256 + len(merged):
+        for t, i in special.items():
+            self.width[i] = len(t.encode())
+        self.special = special
+        longest_first = sorted(special, key=lambda t: (-len(t), t))
+        self.split = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if special else None
+        if usual and plain and merged == sorted(merged) and len(ranks) == 256 + len(merged):
             import tiktoken
 
             self.core = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -53,13 +64,15 @@ class Ids:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             self.core = None
             self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids as little-endian unsigned 32-bit integers; no text is a special token."""
+        """Ids as little-endian unsigned 32-bit integers, as the library's ``encode`` without special tokens added."""
         if self.core is None:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        return bpe.encode(self.core, text)
+        if self.split is None or not self.split.search(text):
+            return bpe.encode(self.core, text)
+        parts = self.split.split(text)  # texts and, at odd places, special tokens
+        return np.concatenate([np.array([self.special[p]], "<u4") if k % 2 else bpe.encode(self.core, p) for k, p in enumerate(parts)])
 
 
 @lru_cache(2)

@@ -8,7 +8,7 @@ import public_tokenizers as P
 from gapwise.llm import bpe, ids, packing
 
 MULTI, PLAIN = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
-ODD = ["", " ", "a", "a  b", "a\t  b \n\n c", "x" * 3000, "don't we'll 'S", "été 中文，漢字。 　  a", "a\x1cb \x1c c\x85d", "   \n", "🙂🙂 é ½²x9", "<|endoftext|> a", "\n\n\n", "tab\tend "]
+ODD = ["", " ", "a", "a  b", "a\t  b \n\n c", "x" * 3000, "don't we'll 'S", "été 中文，漢字。 　  a", "a\x1cb \x1c c\x85d", "   \n", "🙂🙂 é ½²x9", "<|endoftext|> a", "a <|endoftext|> b<|endoftext|><|endoftext|>", "<|endoftext|", "x" * 300_000 + " <|endoftext|>\n" + "y 1" * 100_000, "\n\n\n", "tab\tend "]
 SCHEMA = "doc_id long, text string, ids string, n_tokens string"
 
 
@@ -30,7 +30,13 @@ def test_transcode_is_tiktoken(spark):
 def test_op4_query(spark, sf):
     from gapwise.llm.queries import op4_byte_bpe
 
-    enc = bpe.encoding(MULTI, P.PATTERN)
+    import base64
+
+    import tiktoken
+
+    with open(MULTI, "rb") as f:  # apart from the code under test
+        ranks = {base64.b64decode(line.split()[0]): int(line.split()[1]) for line in f}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = op4_byte_bpe(spark, sf).collect()
     assert len(got) == len(docs)
@@ -43,7 +49,6 @@ def test_ids_are_the_library(spark, sf):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PLAIN)
-    t.encode_special_tokens = True
     texts = [x[1] or "" for x in rows()] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     own = ids.ids(PLAIN)
     assert own.core is not None
@@ -70,7 +75,6 @@ def check_packed(got, data, size):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PLAIN)
-    t.encode_special_tokens = True
     want = {d: t.encode(x or "", add_special_tokens=False).ids + [0] for d, x in data}
     seen, windows = {}, {}
     for r in got:
@@ -91,6 +95,10 @@ def check_packed(got, data, size):
     return used / (size * len(windows))
 
 
+def test_special_token_in_a_text():
+    assert ids.ids(PLAIN).encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+
+
 def test_pack(spark, sf):
     data = [(i, t) for i, (_, t, *_) in enumerate(rows())] + [(9999, "long text " * 700)]
     got = packing.pack_documents(spark.createDataFrame([(d, t, "x", 1) for d, t in data], "doc_id long, text string, length string, offset int"), PLAIN, 64).collect()
