@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PARTS = 8
+#: Parts of what a shared half leaves open; a part of a longer line has at most LONG characters or a root of the half's.
+PARTS, LONG = 8, 128
+#: The widest class of lengths.
+WIDEST = 32
 
 
 def _words() -> Column:
@@ -14,8 +17,8 @@ def _words() -> Column:
 
 
 def _least_of_class(n: Column) -> Column:
-    """The least length of n's class; there are 32 classes between powers of two."""
-    width = F.greatest(F.lit(1), F.shiftright(F.lit(1) * F.pow(F.lit(2), F.length(F.bin(n)) - 1).cast("int"), 5))
+    """The least length of n's class; there are 32 classes between powers of two, or more: none is wider than WIDEST."""
+    width = F.least(F.lit(WIDEST), F.greatest(F.lit(1), F.shiftright(F.lit(1) * F.pow(F.lit(2), F.length(F.bin(n)) - 1).cast("int"), 5)))
     return n - n % width
 
 
@@ -58,8 +61,10 @@ def near_lines(docs: DataFrame, least: int = 20, id_col: str = "doc_id", text_co
     found = found.select("id", "row", "own", F.explode(F.expr("transform(asks, a -> struct(a.no as no, a.m as m, a.side as side, a.key as key, all[a.no] as line))")).alias("a"))
     opened = found.select("id", "row", "own", "a.no", "a.key", "a.side", "a.m", "a.line", F.length("a.line").alias("n"), F.ceil(F.col("a.m") / 2).cast("int").alias("half"))
     gap = F.when(F.col("side") == 0, F.expr("substring(line, 1, n - (m - half))")).otherwise(F.expr("substring(line, half + 1)"))
-    # side 0 leaves at least the first half, side 1 at least the rest
-    opened = opened.select("id", "row", "own", "no", "key", "n", gap.alias("gap"), F.when(F.col("side") == 0, F.col("half")).otherwise(F.col("m") - F.col("half")).alias("base"), F.greatest(F.lit(4), F.ceil(F.col("half") / PARTS)).cast("int").alias("step"))
+    # side 0 leaves at least the first half, side 1 at least the rest. Very long lines get more parts: parts that
+    # are as long as they are many, so that neither their hashes nor their variants grow with the line's square
+    step = F.greatest(F.lit(4), F.least(F.ceil(F.col("half") / PARTS), F.greatest(F.lit(LONG), F.ceil(F.sqrt("half"))))).cast("int")
+    opened = opened.select("id", "row", "own", "no", "key", "n", gap.alias("gap"), F.when(F.col("side") == 0, F.col("half")).otherwise(F.col("m") - F.col("half")).alias("base"), step.alias("step"))
     opened = opened.withColumn("part", F.explode(F.expr("sequence(0, greatest(0, int(ceil(base / step)) - 1))")))
     opened = opened.select("id", "row", "own", "no", "key", "n", "gap", "part", F.expr("part * step").alias("before"), F.expr("greatest(0, base - (part + 1) * step)").alias("after"), F.length("gap").alias("g"))
     opened = opened.select("id", "row", F.xxhash64("own", "row", "no").alias("line"), "no", "n", F.expr("xxhash64(key, part, substring(gap, 1, before), substring(gap, g - after + 1, after))").alias("key"), F.expr("substring(gap, before + 1, g - before - after)").alias("rest"))
@@ -102,7 +107,9 @@ def dedup_lines(docs: DataFrame, least: int = 20, id_col: str = "doc_id", text_c
     joined by line feeds; empty if none does), and the columns named in ``carry``
     (of types that can be hashed). A null text is empty: one line
     without a word. Rows that repeat id and text are one document and are
-    returned as often, with the same result. No rows give no rows.
+    returned as often, with the same result. No rows give no rows. Lines may
+    have millions of characters: the work for a line of n grows as n times the
+    root of n, and only if another line shares one of its halves.
     """
     held, stay = near_lines(docs, least, id_col, text_col, carry)
     x = held.join(stay.hint("shuffle_hash"), "row", "left").withColumn("all", F.split("text", "\n", -1))

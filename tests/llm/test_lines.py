@@ -87,3 +87,20 @@ def test_op5_query(spark, sf):
 
     want = {i: (n, g, hashlib.sha256(t.encode()).hexdigest()) for i, (n, g, t) in brute(rows, 20).items()}
     assert {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in op5_line_dedup(spark, sf).collect()} == want
+
+
+def test_very_long_lines(spark):
+    rng = random.Random(11)
+    a = "".join(rng.choice("abcdé ") for _ in range(700_000))
+    k = 433_333
+    rows = [(1, a), (2, a[:k] + a[k + 1 :]), (3, a[:k] + "z" + a[k:]), (4, "z" + a[1:-1] + "z"), (5, a[:k] + "z" + a[k + 1 :] + "\nq"), (6, a[::-1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in lines.dedup_lines(df).collect()) == [(1, 0), (2, 1), (3, 1), (4, 0), (5, 1), (6, 0)]
+
+
+def test_long_lines_that_share_a_half(spark):
+    rng = random.Random(12)
+    half = "".join(rng.choice("abcd ") for _ in range(1500))
+    rows = [(i, half + "".join(rng.choice("abcd ") for _ in range(1500))) for i in range(60)]
+    rows += [(100 + i, edited(rng, t)) for i, t in rows[:30]]
+    check(spark, rows, 20)
