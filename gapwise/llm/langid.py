@@ -53,40 +53,55 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return step
 
 
+#: Bytes of the table of transitions by frequent letters; transitions by other letters are searched for.
+DENSE = 64 << 20
+
+
 class Parser:
     """Automata of all languages as one table: state and letter to next state and phrases that end.
 
-    Code 0 is a space, 1 a letter that no sample holds, the rest are letters.
+    Code 0 is a space, 1 a letter that no sample holds, the rest are the letters
+    of the samples, each with a code of its own. The most frequent ones, as many
+    as fit ``DENSE`` bytes, have columns in the table; the transitions by the
+    others stand in a sorted list of (state, code).
     """
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, str], dense: int = DENSE):
         self.langs = sorted(samples)
         letters = Counter("".join(samples.values()))
         letters.pop(" ", None)
-        known = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))][:253]
+        known = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))]
         code = {" ": 0} | {c: i + 2 for i, c in enumerate(known)}
-        self.size = len(known) + 2
-        self.lut = np.zeros(0x110000, np.uint8)
+        total = sum(len(x) + 2 for x in samples.values())
+        # an automaton has fewer than two states a letter
+        self.size = 2 + min(len(known), max(16, dense // (8 * max(1, total))))
+        self.lut = np.zeros(0x110000, np.uint8 if len(known) < 250 else np.int32)
         for c, i in code.items():
             self.lut[ord(c)] = i
-        tables, self.start, at = [], [], 0
-        # an automaton has fewer than two states a letter
-        kind = np.int32 if 8 * self.size * sum(len(x) + 2 for x in samples.values()) < 2**31 else np.int64
+        tables, self.start, at, keys, to_states = [], [], 0, [], []
+        kind = np.int32 if 8 * self.size * total < 2**31 else np.int64
         for lang in self.langs:
-            steps = suffix_automaton([code.get(c, 1) for c in samples[lang]])
+            steps = suffix_automaton([code[c] for c in samples[lang]])
             root = np.full(self.size, at * 4 * self.size + 1, kind)  # an unknown letter is a phrase
-            for c, to in steps[0].items():
-                root[c] = (at + to) * 4 * self.size
-            t = np.tile(root + 1, (len(steps), 1))  # no way on: a phrase ends, the next starts here
-            t[0] = root
             rows = np.repeat(np.arange(len(steps)), [len(s) for s in steps])
             cols = np.fromiter((c for s in steps for c in s), np.int64, len(rows))
-            t[rows, cols] = (np.fromiter((x for s in steps for x in s.values()), np.int64, len(rows)) + at) * 4 * self.size
+            to = np.fromiter((x for s in steps for x in s.values()), np.int64, len(rows)) + at
+            often = cols < self.size
+            first = often & (rows == 0)
+            root[cols[first]] = to[first] * 4 * self.size
+            t = np.tile(root + 1, (len(steps), 1))  # no way on: a phrase ends, the next starts here
+            t[0] = root
+            t[rows[often], cols[often]] = to[often] * 4 * self.size
             tables.append(t.ravel())
+            keys.append(((rows[~often] + at) << 21) | cols[~often])
+            to_states.append(to[~often])
             self.start.append(at * self.size)
             at += len(steps)
             del steps, rows, cols, t
-        self.table = np.concatenate(tables)
+        self.table = np.concatenate(tables) if tables else np.zeros(0, kind)
+        keys, to_states = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, to_states))
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], to_states[order]
         self.bits = np.array([math.log2(max(2, len(samples[x]))) for x in self.langs])
 
     def codes(self, text: str) -> tuple[np.ndarray, bool]:
@@ -96,13 +111,27 @@ class Parser:
         odd = np.flatnonzero((c == 0) & (u > 127))
         if len(odd):
             values, where = np.unique(u[odd], return_inverse=True)
-            c[odd] = np.array([chr(v).isalpha() for v in values], np.uint8)[where]
+            c[odd] = np.array([chr(v).isalpha() for v in values], c.dtype)[where]
         odd = np.flatnonzero((c == 0) & (((u >= 97) & (u <= 122)) | ((u >= 65) & (u <= 90))))
         c[odd] = 1
         if not c.any():
             return c[:0], False
         return c[(c != 0) | np.concatenate(([False], c[:-1] != 0))], True
 
+    def _rare(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Entries, as the table has them, of letters without a column; state is (languages, texts)."""
+
+        def look(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            key = (s.astype(np.int64) // self.size << 21) | code
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            return self.keys[at] == key, self.to[at] * 4 * self.size
+
+        root = np.array(self.start)[:, None]
+        on, to = look(state)
+        again, first = look(np.broadcast_to(root, state.shape))
+        inside = (state != root).astype(np.int64)
+        return np.where(on, to, np.where(again, first, root * 4 + 1) + inside)
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases that each language needs for each text, (texts, languages).
 
@@ -125,9 +154,17 @@ class Parser:
         root = np.array(self.start, self.table.dtype)[:, None]
         state = np.tile(root, (1, len(of)))
         count = np.zeros(state.shape, np.int32)
+        any_rare = len(self.keys) > 0 and int(data.max()) >= self.size
         for t in range(int(length[0])):
             k = live[t]
-            e = self.table[state[:, :k] + data[start[:k] + t]]
+            c = data[start[:k] + t]
+            if any_rare:
+                rare = np.flatnonzero(c >= self.size)
+                e = self.table[state[:, :k] + np.where(c < self.size, c, 1)]
+                if len(rare):
+                    e[:, rare] = self._rare(state[:, rare], c[rare].astype(np.int64))
+            else:
+                e = self.table[state[:, :k] + c]
             count[:, :k] += e & 3
             state[:, :k] = e >> 2
         count += state != root
@@ -150,23 +187,25 @@ def parser(samples: dict[str, str]) -> Parser:
     return _BUILT[key]
 
 
-def learn(docs: DataFrame, train_chars: int = 40_000, doc_chars: int = 5_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
+def learn(docs: DataFrame, train_chars: int = 40_000, doc_chars: int = 5_000, max_langs: int = 512, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
     """A sample of normalised text for each language of labelled ``docs``.
 
-    The bound: at most ``train_chars`` characters a language, out of the first
-    ``doc_chars`` of documents taken by a hash of their id. Rows whose text or
-    language is null are left out. The driver gets about twice that.
+    The bounds: at most ``train_chars`` characters a language, out of the first
+    ``doc_chars`` of distinct documents taken by a hash of id and text, and the
+    ``max_langs`` languages with the most text. Rows whose text or language is
+    null are left out. The driver gets about twice that many characters.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id"), F.substring(text_col, 1, doc_chars).alias("text"))
-    chars = {r.lang: r.chars for r in labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).collect()}
-    share = F.lit(0.0)
-    for lang, n in chars.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * train_chars / max(1, n)))).otherwise(share)
-    at = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 30))
-    rows = labelled.withColumn("at", at).where(F.col("at") < share * (1 << 30)).collect()
-    out: dict[str, list[str]] = {lang: [] for lang in chars}
+    chars = labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).orderBy(F.desc("chars"), "lang").limit(max_langs).collect()
+    if not chars:
+        return {}
+    share = F.create_map(*[F.lit(x) for r in chars for x in (r.lang, min(1.0, 2 * train_chars / max(1, r.chars)))])
+    at = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
+    sampled = labelled.withColumn("at", at).where(F.col("at") < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 30))
+    rows = sampled.select("lang", "at", "text").distinct().collect()
+    out: dict[str, list[str]] = {r.lang: [] for r in chars}
     held: Counter = Counter()
-    for r in sorted(rows, key=lambda r: (r["at"], r.id or "", r.text)):
+    for r in sorted(rows, key=lambda r: (r["at"], r.text)):
         t = normal(r.text)[: max(0, train_chars - held[r.lang])]
         if t:
             out[r.lang].append(t)

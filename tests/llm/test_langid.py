@@ -32,6 +32,34 @@ def test_phrases_against_brute_force():
         assert row.tolist() == [sum(brute(samples[x], s) for s in parts) for x in p.langs]
 
 
+def test_every_letter_is_apart():
+    rng = random.Random(4)
+    letters = [chr(0x4E00 + k) for k in range(700)] + list("abcdé")
+    samples = {x: "".join(rng.choice(letters[k * 200 : k * 200 + 400] + [" "]) for _ in range(900)) for k, x in enumerate(("p", "q"))}
+    samples["r"] = "abab abba"
+    texts = []
+    for _ in range(40):
+        parts = []
+        for _ in range(6):
+            own = samples[rng.choice("pqr")]
+            a = rng.randrange(len(own))
+            parts += [own[a : a + rng.randrange(12)], rng.choice([*letters, "ж"])]
+        texts.append(" ".join("".join(parts).split()))
+    for dense in (0, 1 << 27):
+        p = langid.Parser(samples, dense)
+        assert (len(p.keys) > 0) == (dense == 0)
+        got = p.phrases([p.codes(t)[0] for t in texts])
+        assert got.tolist() == [[brute(samples[x], t) for x in p.langs] for t in texts]
+
+
+def test_sample_is_bounded(spark):
+    rows = [(None, "many copies of one text", "en")] * 300 + [(k, f"text {k}", f"l{k % 9}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = langid.learn(docs, max_langs=4)
+    assert len(samples) == 4 and samples["en"] == "many copies of one text"
+    assert all(len(x) <= 100 for x in langid.learn(docs, train_chars=100).values())
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "the cat and the dog " * 9, "en", "s"), (2, "der hund und die katze " * 9, "de", "s"), (None, "x", None, "s"), (4, None, "en", "s")], "doc_id long, text string, lang string, score string")
     samples = langid.learn(docs)
