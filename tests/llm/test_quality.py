@@ -18,9 +18,17 @@ def brute(text, window=5):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), sum(x in lines[:i] for i, x in enumerate(lines)), len(inside)
 
 
-def brute_longest(words):
-    n = len(words)
-    return max((k for i in range(n) for j in range(i) for k in range(n - i + 1) if words[i : i + k] == words[j : j + k]), default=0)
+def verdict(text):
+    """(covered_words, longest_repeat, kept) from windows of words that occur twice."""
+    words, k = WORD.findall(text or ""), 0
+    while True:
+        seen = [tuple(words[i : i + k + 1]) for i in range(len(words) - k)]
+        if len(set(seen)) == len(seen):
+            break
+        k += 1
+    n, *_, repeated = brute(text)
+    cover = brute(text, 10)[4]
+    return cover, k, n >= 10 and 100 * repeated <= 20 * n and 100 * cover <= 15 * n and k <= 50
 
 
 def test_repeats_against_brute_force():
@@ -32,7 +40,7 @@ def test_repeats_against_brute_force():
         assert got.tolist() == want
 
 
-TEXTS = [None, "", " \n\t", "a\nb\na\n a\n\na", "one two three four five six seven eight nine ten", "x y z v w " * 9, "é è ü ñ # $ <|>", "p " * 5000, "\n".join(["the same line of seven words here"] * 3), " ".join(str(i) for i in range(20000))]
+TEXTS = [None, "", " \n\t", "a\nb\na\n a\n\na", "one two three four five six seven eight nine ten", "x y z v w " * 9, "é è ü ñ # $ <|>", "p " * 800, "\n".join(["the same line of seven words here"] * 3), " ".join(str(i) for i in range(20000))]
 
 
 def test_edges(spark):
@@ -42,7 +50,7 @@ def test_edges(spark):
         want = brute(t)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, t
         assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
-        assert not (r.base_failed and r.kept)
+        assert (r.covered_words, r.longest_repeat, r.kept) == verdict(t)
     assert got[4].kept and got[9].kept and not got[7].kept
     assert Q.quality(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -62,3 +70,10 @@ def test_op9_query(spark, sf):
     assert len(got) == len(docs)
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(docs[r.doc_id])
+        assert (r.covered_words, r.longest_repeat, r.kept) == verdict(docs[r.doc_id]), r.doc_id
+
+
+def test_repeated_rows_and_null_ids(spark):
+    rows = [(1, TEXTS[4]), (1, TEXTS[4]), (None, TEXTS[4]), (None, None)]
+    got = Q.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.kept) for r in got) == [("1", 10, True), ("1", 10, True), ("None", 0, False), ("None", 10, True)]
