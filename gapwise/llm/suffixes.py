@@ -17,6 +17,8 @@ GRAM = 24
 HOT = 20_000
 BATCH = 16_384
 BLOCKS = 4
+#: Contexts that a task looks at together; their keys are never split, so HOT more at most.
+UNIT = 65_536
 
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
@@ -77,32 +79,40 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     return text, at - (ends - size)[text], keys[at].view(np.int64)
 
 
-def _sorted_lcp(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of byte rows, and the common prefix of each with the one before."""
-    order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
-    s = rows[order]
-    same = s[1:] == s[:-1]
-    lcp = np.where(same.all(1), rows.shape[1], same.argmin(1)) if len(s) > 1 else np.zeros(0, np.int64)
-    return order, lcp
+def _keys(rows: np.ndarray, n: np.ndarray, *first: np.ndarray) -> np.ndarray:
+    """Rows as strings that sort like texts of ``n`` bytes: the zeros behind the end, then n, so that an end comes first."""
+    m = np.concatenate([*(x[:, None].astype(np.uint8) for x in first), rows, n[:, None].astype(np.uint8)], axis=1)
+    return np.ascontiguousarray(m).view(f"S{m.shape[1]}").ravel()
 
 
-class Contexts:
-    """Anchors in document order: the bytes right of each, and left of each read backwards, to ``length``."""
+def _cells(keys: np.ndarray) -> np.ndarray:
+    return keys.view(np.uint8).reshape(len(keys), keys.dtype.itemsize)
 
-    def __init__(self, right, left, n_right, n_left, low, high):
-        self.columns = (right, left, n_right, n_left, low, high)
 
-    def __len__(self) -> int:
-        return len(self.columns[0])
+def _common(a: np.ndarray, b: np.ndarray, head: int) -> np.ndarray:
+    """Common prefixes of texts by the cells of their keys; -1 if the ``head`` differs."""
+    same = a[:, :-1] == b[:, :-1]
+    lcp = np.where(same.all(1), same.shape[1], same.argmin(1)) - head
+    return np.minimum(lcp, np.minimum(a[:, -1], b[:, -1]).astype(np.int64))
+
+
+class Contexts:
+    """Anchors in document order: the bytes right of each, and left of each read backwards, to ``length``.
+
+    ``low`` to ``high`` are the bytes left of the anchor at which a passage may
+    start. Contexts of different ``block`` never match.
+    """
 
-    def __getitem__(self, at) -> Contexts:
-        return Contexts(*(c[at] for c in self.columns))
+    def __init__(self, right, left, n_right, n_left, low, high, block=None):
+        self.low, self.high = low, high
+        self.right = _keys(right, n_right, np.zeros(len(low), np.uint8) if block is None else block)
+        self.left = _keys(left, n_left)
 
-    def __add__(self, other: Contexts) -> Contexts:
-        return Contexts(*(np.concatenate(x) for x in zip(self.columns, other.columns)))
+    def __len__(self) -> int:
+        return len(self.low)
 
     @classmethod
-    def of(cls, contexts: list[bytes], n_left: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> Contexts:
+    def of(cls, contexts: list[bytes], n_left: np.ndarray, low: np.ndarray, high: np.ndarray, block: np.ndarray, length: int) -> Contexts:
         n, size = len(contexts), np.array([len(c) for c in contexts])
         data = np.frombuffer(b"".join(contexts) + bytes(1), np.uint8)
         middle = np.cumsum(size) - size + n_left
@@ -111,11 +121,108 @@ class Contexts:
         take = lambda at, ok: np.where(ok, data[np.where(ok, at, 0)], 0).astype(np.uint8)
         right = take(middle[:, None] + span, span < n_right[:, None])
         left = take(middle[:, None] - 1 - span[: length - GRAM], span[: length - GRAM] < n_left[:, None])
-        return cls(right.reshape(n, length), left.reshape(n, length - GRAM), n_right, n_left, low, high)
+        return cls(right.reshape(n, length), left.reshape(n, length - GRAM), n_right, n_left, low, high, block)
+
+
+def _range_counts(across: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """For each bit of the values, high to low: zeros before each place, and zeros in all; values go on sorted by that bit."""
+    out, v = [], across.astype(np.int32)
+    for bit in range(len(across).bit_length() - 1, -1, -1):
+        zero = (v >> bit) & 1 == 0
+        out.append((np.concatenate(([0], np.cumsum(zero))).astype(np.int32), int(zero.sum())))
+        v = np.concatenate((v[zero], v[~zero]))
+    return out
+
+
+class Level:
+    """Suffix arrays of some contexts: right sides and reversed left sides, each sorted, and for each right side the place of its left one."""
+
+    def __init__(self, right: np.ndarray, left: np.ndarray, across: np.ndarray):
+        self.right, self.left, self.across = right, left, across
+        self._counts: list | None = None
+
+    def __len__(self) -> int:
+        return len(self.right)
+
+    def merge(self, other: Level) -> Level:
+        """One level of both, by merging the sorted arrays."""
+        n = len(self) + len(other)
+
+        def places(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            at_b = np.searchsorted(a, b, "right") + np.arange(len(b))
+            of_a = np.ones(n, bool)
+            of_a[at_b] = False
+            at_a = np.flatnonzero(of_a)
+            keys = np.empty(n, a.dtype)
+            keys[at_a], keys[at_b] = a, b
+            return keys, at_a, at_b
+
+        right, ra, rb = places(self.right, other.right)
+        left, la, lb = places(self.left, other.left)
+        across = np.empty(n, np.int64)
+        across[ra], across[rb] = la[self.across], lb[other.across]
+        return Level(right, left, across)
+
+    def longest(self, keys: np.ndarray, own: np.ndarray, head: int) -> np.ndarray:
+        """The longest prefix that each of ``keys`` shares with a row of the sorted ``own``: with a neighbour of its place."""
+        at, cells, rows = np.searchsorted(own, keys), _cells(keys), _cells(own)
+        return np.maximum(_common(cells, rows[np.maximum(at - 1, 0)], head), _common(cells, rows[np.minimum(at, len(own) - 1)], head))
+
+    @staticmethod
+    def _interval(own: np.ndarray, keys: np.ndarray, depth: np.ndarray, head: int) -> tuple[np.ndarray, np.ndarray]:
+        """The LCP interval in ``own`` of the first ``depth`` bytes of each of ``keys``."""
+        low, high = _cells(keys).copy(), _cells(keys).copy()
+        behind = np.arange(low.shape[1]) >= depth[:, None] + head
+        low[behind], high[behind] = 0, 255
+        low[:, -1] = depth
+        kind = own.dtype
+        return np.searchsorted(own, low.view(kind).ravel(), "left"), np.searchsorted(own, high.view(kind).ravel(), "right")
+
+    def _less(self, a: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many of across[a:b] are less than y."""
+        n, bits = np.zeros(len(a), np.int64), len(self.across).bit_length()
+        for k, (zeros, all_zeros) in enumerate(self._counts):
+            za, zb = zeros[a], zeros[b]
+            one = (y >> (bits - 1 - k)) & 1 == 1
+            n += np.where(one, zb - za, 0)
+            a, b = np.where(one, a - za + all_zeros, za), np.where(one, b - zb + all_zeros, zb)
+        return n
+
+    def holds(self, batch: Contexts, who: np.ndarray, j: np.ndarray, length: int) -> np.ndarray:
+        """Whether a context here shares length - j bytes to the right and j to the left with each of ``who``."""
+        if self._counts is None:
+            self._counts = _range_counts(self.across)
+        a, b = self._interval(self.right, batch.right[who], length - j, 1)
+        x, y = self._interval(self.left, batch.left[who], j, 0)
+        some = np.flatnonzero((a < b) & (x < y))
+        out = np.zeros(len(who), bool)
+        a, b = a[some], b[some]
+        out[some] = self._less(a, b, y[some]) > self._less(a, b, x[some])
+        return out
+
+    def scan(self, batch: Contexts, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Least and most start of a passage of each of ``batch`` that occurs here; (length, -1): there is none."""
+        least, most = np.full(len(batch), length), np.full(len(batch), -1)
+        first = np.maximum(batch.low, length - self.longest(batch.right, self.right, 1))
+        last = np.minimum(batch.high, self.longest(batch.left, self.left, 0))
+        who = np.flatnonzero(first <= last)
+        at = first[who]
+        while len(who):  # the least start, from below
+            found = self.holds(batch, who, at, length)
+            least[who[found]] = at[found]
+            on = ~found & (at < last[who])
+            who, at = who[on], at[on] + 1
+        who = np.flatnonzero(least < length)
+        at = last[who]
+        while len(who):  # the most, from above; at the least one it ends
+            found = self.holds(batch, who, at, length)
+            most[who[found]] = at[found]
+            who, at = who[~found], at[~found] - 1
+        return least, most
 
 
-def repeats(all_of: Contexts, fresh: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the contexts from ``fresh`` on: the least and most bytes left of the anchor at which a repeated passage starts.
+def repeats(batch: Contexts, length: int) -> tuple[np.ndarray, np.ndarray, Level]:
+    """The least and most bytes left of the anchor at which a passage starts that an earlier one of ``batch`` has, and its suffix arrays.
 
     A passage of ``length`` bytes that starts j bytes left of its anchor is
     given by its LCP interval of depth length - j in the suffix array of the
@@ -123,16 +230,19 @@ def repeats(all_of: Contexts, fresh: int, length: int) -> tuple[np.ndarray, np.n
     the contexts in the same two intervals all but the first are repeats.
     (length, -1): there is none.
     """
-    right, left, n_right, n_left, low, high = all_of.columns
-    n = len(all_of)
+    n = len(batch)
     least, most = np.full(n, length), np.full(n, -1)
+    ro, lo = np.argsort(batch.right, kind="stable"), np.argsort(batch.left, kind="stable")
+    place = np.empty(n, np.int64)
+    place[lo] = np.arange(n)
+    level = Level(batch.right[ro], batch.left[lo], place[ro])
     if n > 1:
-        ro, rl = _sorted_lcp(right)
-        lo, ll = _sorted_lcp(left)
+        rows, sides = _cells(level.right), _cells(level.left)
+        rl, ll = _common(rows[1:], rows[:-1], 1), _common(sides[1:], sides[:-1], 0)
         bits = np.uint64(int(n).bit_length())
         by_right, by_left = np.empty(n, np.uint64), np.empty(n, np.uint64)
         for j in range(length - GRAM + 1):
-            v = np.flatnonzero((n_left >= j) & (n_right >= length - j) & (low <= j) & (j <= high))
+            v = np.flatnonzero((batch.low <= j) & (j <= batch.high))
             if len(v) < 2:
                 continue
             by_right[ro] = np.concatenate(([0], np.cumsum(rl < length - j))).astype(np.uint64)
@@ -148,25 +258,33 @@ def repeats(all_of: Contexts, fresh: int, length: int) -> tuple[np.ndarray, np.n
                 again = v[order[1:][x[1:] == x[:-1]]]
             most[again] = j
             least[again] = np.minimum(least[again], j)
-    return least[fresh:], most[fresh:]
+    return least, most, level
 
 
 class Family:
-    """Levels of contexts, oldest and largest first; equal-sized levels merge."""
+    """Levels of suffix arrays, oldest and largest first; equal-sized levels merge.
+
+    A batch is sorted once. Against each level it is merge-scanned: its rows
+    find their places in the level's sorted arrays by binary search, never all
+    rows of the level. ``touched`` counts rows sorted, scanned and merged: for N
+    contexts it grows as N log N.
+    """
 
     def __init__(self, length: int):
-        self.length, self.levels = length, []
+        self.length, self.levels, self.touched = length, [], 0
 
     def add(self, batch: Contexts) -> tuple[np.ndarray, np.ndarray]:
         """Scan a batch, all of it later than what the levels hold, against itself and each level; then keep it."""
-        least, most = repeats(batch, 0, self.length)
+        least, most, own = repeats(batch, self.length)
+        self.touched += len(batch) * (1 + len(self.levels))
         for _, level in self.levels:
-            x, y = repeats(level + batch, len(level), self.length)
+            x, y = level.scan(batch, self.length)
             least, most = np.minimum(least, x), np.maximum(most, y)
-        self.levels.append((0, batch))
+        self.levels.append((0, own))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (_, b), (rank, a) = self.levels.pop(), self.levels.pop()
-            self.levels.append((rank + 1, a + b))
+            self.touched += len(a) + len(b)
+            self.levels.append((rank + 1, a.merge(b)))
         return least, most
 
 
@@ -184,7 +302,10 @@ ROW = "route long, none boolean, id {kind}, row long, pos long, n_left long, low
 
 
 def _emit(length: int, hot: bool):
-    """Contexts of the listed anchors, routed by their key or, if ``hot``, by the core of each block of starts."""
+    """Contexts of the listed anchors, routed by their key or, if ``hot``, by the core of each block of starts.
+
+    ``low`` has the number of the block, from 1, above its eight bits.
+    """
 
     def run(batches):
         base.claim("suffixes")
@@ -197,10 +318,10 @@ def _emit(length: int, hot: bool):
                 if hot:
                     h64 = gram_hashes(np.frombuffer(raw, np.uint8), 64)
                     parts = []
-                    for j0, j1 in _blocks(length):
+                    for k_block, (j0, j1) in enumerate(_blocks(length), 1):
                         at = np.flatnonzero((np.maximum(lo, j0) <= np.minimum(hi, j1)))
                         core = _hash_span(h64, pos[at] - j0, length - (j1 - j0)) + np.uint64(j0)
-                        parts.append((at, core.view(np.int64), np.maximum(lo[at], j0), np.minimum(hi[at], j1)))
+                        parts.append((at, core.view(np.int64), np.maximum(lo[at], j0) | k_block << 8, np.minimum(hi[at], j1)))
                     at, route, low, high = (np.concatenate(x) for x in zip(*parts))
                 else:
                     at = np.flatnonzero(lo <= hi)
@@ -253,13 +374,8 @@ def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str, car
     split = split.join(cores, "route")
     usual = contexts(False).unionByName(split.where(F.col("n") <= HOT).drop("n"))
 
-    def shard(batches):
-        base.claim("suffixes")
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
-        del held
+    def unit(t: pa.Table) -> pa.RecordBatch:
+        """Repeated spans among the contexts of whole keys."""
         ids = t.column("id").combine_chunks().dictionary_encode()
         rank = np.argsort(np.argsort(ids.dictionary.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
         code = ids.indices.fill_null(0).to_numpy()
@@ -271,17 +387,36 @@ def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str, car
         order = order[np.concatenate(([True], ~twin))]  # rows that repeat id and text
         t = t.take(pa.array(order))
         n_left, low, high, row, pos = (t.column(c).to_numpy() for c in ("n_left", "low", "high", "row", "pos"))
+        low, block = low & 255, low >> 8
         context, family, out = t.column("context"), Family(length), []
         for a in range(0, len(row), BATCH):
             s = slice(a, a + BATCH)
-            least, most = family.add(Contexts.of(context[s].to_pylist(), n_left[s], low[s], high[s], length))
+            least, most = family.add(Contexts.of(context[s].to_pylist(), n_left[s], low[s], high[s], block[s], length))
             some = most >= 0
             out.append((row[s][some], (pos[s] - most)[some], (pos[s] - least + length)[some]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["row", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["row", "start", "end"])
 
-    # a task holds its shard: four for each shuffle partition
+    def shard(batches):
+        base.claim("suffixes")
+        held, n = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n += b.num_rows
+            if n >= UNIT:  # all but the last key, of which more may come
+                t = pa.Table.from_batches(held).combine_chunks()
+                route = t.column("route").to_numpy()
+                to = int(np.searchsorted(route, route[-1]))
+                if to:
+                    yield unit(t.slice(0, to).combine_chunks())
+                    held, n = t.slice(to).combine_chunks().to_batches(), len(route) - to
+        if held:
+            yield unit(pa.Table.from_batches(held).combine_chunks())
+
+    # sorted by key, so that a task holds a bounded number of contexts however many its shard has
     shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = usual.repartition(shards, "route").mapInArrow(shard, "row long, start long, end long")
+    spans = usual.repartition(shards, "route").sortWithinPartitions("route").mapInArrow(shard, "row long, start long, end long")
 
     def passages(batches):
         for b in batches:
@@ -290,6 +425,7 @@ def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str, car
             size = np.array([len(c) for c in context])
             if not len(size):
                 continue
+            low = low & 255
             n = high - low + 1
             at = np.repeat(np.arange(len(n)), n)
             j = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + low[at]
@@ -299,9 +435,14 @@ def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str, car
             yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), *t.columns, pa.array(pos[at] - j)], ["v", "none", "id", "row", "start"])
 
     single = split.where(F.col("n") > HOT).drop("n").mapInArrow(passages, f"v long, none boolean, id {kind}, row long, start long")
+    # the first of a passage in two steps, and the join by passage and salt: no task has all of a frequent one
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    single = single.withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(salts)).cast("int"))
     place = F.struct("none", "id", "row", "start")
-    first = single.groupBy("v").agg(F.min(place).alias("p"), F.count("*").alias("n")).where("n > 1").select("v", "p")
-    again = single.join(first, "v").where(place != F.col("p")).select("row", "start", (F.col("start") + length).alias("end"))
+    salted = single.groupBy("v", "salt").agg(F.min(place).alias("q"), F.count("*").alias("n"))
+    first = salted.groupBy("v").agg(F.min("q").alias("p"), F.sum("n").alias("n")).where("n > 1").select("v", "p")
+    first = salted.select("v", "salt", "q", "n").join(first, "v").select("v", "salt", "p")
+    again = single.join(first, ["v", "salt"]).where(place != F.col("p")).select("row", "start", (F.col("start") + length).alias("end"))
     return held, firsts.select("row"), spans.unionByName(again)
 
 
@@ -318,6 +459,18 @@ def merged(spans: list[int]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
+def _char_start(raw: bytes, at: int) -> int:
+    while 0 < at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+def _char_end(raw: bytes, at: int) -> int:
+    while at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """Remove each byte of a ``length``-byte passage that also starts earlier.
 
@@ -326,13 +479,17 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     the input and do not cross texts. Equal texts enter the index once, for the
     first of them. Every passage has an anchor, placed by content; anchors whose
     key occurs once cannot be in a repeated passage and go no further. The rest
-    go, with the bytes around them, to a shard by their key. A shard keeps a
-    logarithmic family: in document order each batch gets suffix arrays of its
-    contexts (right sides, and left sides backwards), is scanned with each level
-    by LCP intervals, joins as a level, and equal levels merge. A key with more
-    than HOT contexts is split by the content around the anchor, and what is
-    still hot becomes single passages that are grouped by hash, with partial
-    aggregation. Nothing is capped or dropped.
+    go, with the bytes around them, to a shard by their key; a task takes whole
+    keys, about UNIT contexts at a time, and keeps a logarithmic family of them:
+    in document order each batch gets suffix arrays of its contexts (right
+    sides, and left sides backwards), is merge-scanned against each level by LCP
+    intervals, joins as a level, and equal levels merge their sorted arrays. A
+    key with more than HOT contexts is split by the content around the anchor,
+    and what is still hot becomes single passages that are grouped by hash, with
+    partial aggregation and salts. Nothing is capped or dropped.
+
+    ``as_text`` gives ``kept`` as text: a character of which a removed run has
+    some bytes goes whole, since the others alone are no character.
 
     ``length`` is 64 + GRAM to 128. Returns per row: id, n_bytes, starts and ends
     (maximal removed runs, in bytes), kept (the other bytes), and the columns named in
@@ -362,8 +519,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 n.append(len(raw))
                 starts.append(s)
                 ends.append(e)
+                if as_text:
+                    s, e = [_char_start(raw, x) for x in s], [_char_end(raw, x) for x in e]
                 left = b"".join(raw[x:y] for x, y in zip([0, *e], [*s, len(raw)])) if s else raw
-                kept.append(left.decode("utf-8", "ignore") if as_text else left)
+                kept.append(left.decode("utf-8") if as_text else left)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.string() if as_text else pa.binary()), *b.columns[4:]], [id_col, "n_bytes", "starts", "ends", "kept", *b.schema.names[4:]])
 
     kinds = dict(x.dtypes)

@@ -23,6 +23,23 @@ def brute(rows, length=100):
     return out
 
 
+def texts_of(rows, length=100):
+    """id -> the characters of which no byte goes."""
+    out, texts = {}, dict(rows)
+    for i, (n, starts, ends, _) in brute(rows, length).items():
+        gone = np.zeros(n + 1, bool)
+        for a, b in zip(starts, ends):
+            gone[a:b] = True
+        at, kept = 0, []
+        for c in texts[i] or "":
+            k = len(c.encode())
+            if not gone[at : at + k].any():
+                kept.append(c)
+            at += k
+        out[i] = "".join(kept)
+    return out
+
+
 def made(seed, alphabet):
     rng = random.Random(seed)
     say = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
@@ -53,12 +70,23 @@ def test_against_brute_force(spark):
 
 def test_levels_and_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "BATCH", 7)
+    monkeypatch.setattr(suffixes, "UNIT", 40)
     check(spark, made(3, "abcdefgh "))
     monkeypatch.setattr(suffixes, "HOT", 3)
     check(spark, made(4, "abcdefgh "))
     check(spark, made(5, "ab"))
 
 
+def test_cut_characters_go_whole(spark):
+    rng = random.Random(6)
+    shared = "".join(rng.choice("aé中🙂") for _ in range(90)).encode()
+    # the same bytes of a character behind different first bytes, and the other way round
+    rows = [(1, "x" + shared.decode() + "é"), (2, "é" + shared.decode() + "è"), (3, "ĩ" + shared.decode()), (4, "中" * 120), (5, "丮" + "中" * 60 + "丽")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = texts_of(rows)
+    assert {r.doc_id: r.text for r in suffixes.kept_texts(df).collect()} == want
+
+
 def test_long_text(spark):
     rng = random.Random(8)
     long = "".join(rng.choice("abcdefgh ") for _ in range(400_000))
