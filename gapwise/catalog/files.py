@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import point_if
-from ..shared import ship
+from ..shared import remove_later, shared_folder
 from ..sources import delimited, geojson, office
 from .base import Tables, query, rounded
 
 
 def folder(t: Tables) -> str:
-    """A new folder where driver and executors both see it."""
-    at = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gapwise-files-")
-    return f"{at}/files-{uuid.uuid4().hex}"
+    """A new folder where driver and executors both see it; it goes when the application ends."""
+    at = f"{shared_folder(t.spark)}/files-{uuid.uuid4().hex}"
+    remove_later(t.spark, at)
+    return at
 
 
 NATIONS = "SELECT n_nationkey, n_name, n_nationkey * 0.5::DOUBLE AS lon, n_regionkey * 1.25::DOUBLE AS lat FROM nation"
@@ -57,9 +57,7 @@ def xlsx_source(t: Tables) -> DataFrame:
 @query(f"SELECT n_nationkey, n_name, lon, lat FROM ({NATIONS})")
 def gpkg_source(t: Tables) -> DataFrame:
     to = f"{folder(t)}/layers.gpkg"
-    ship(t.spark)
-    point = F.udf(office.point_wkb, "binary")  # 25 rows of an export
-    office.write_gpkg(nations(t).select("n_nationkey", "n_name", point("lon", "lat").alias("wkb")), to, "wards")
+    office.write_gpkg(nations(t).select("n_nationkey", "n_name", F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")).alias("shape")), to, "wards", "shape")
     got = office.read_gpkg(t.spark, to, "wards", "n_nationkey int, n_name string")
     return got.select("n_nationkey", "n_name", F.col("rings")[0][0]["x"].alias("lon"), F.col("rings")[0][0]["y"].alias("lat"))
 
@@ -67,9 +65,8 @@ def gpkg_source(t: Tables) -> DataFrame:
 @query("SELECT lga_code, max(sen) AS sen FROM (SELECT n_name AS lga_code, CAST(n_regionkey AS VARCHAR) AS sen FROM nation) GROUP BY 1")
 def gpkg_lookup(t: Tables) -> DataFrame:
     to = f"{folder(t)}/lgas.gpkg"
-    ship(t.spark)
-    point = F.udf(office.point_wkb, "binary")
-    office.write_gpkg(t("nation").select(F.col("n_name").alias("lga_code"), F.col("n_regionkey").cast("string").alias("sen"), point(F.lit(1.0), F.lit(2.0)).alias("wkb")), to, "lgas")
+    shape = F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y")).alias("shape")
+    office.write_gpkg(t("nation").select(F.col("n_name").alias("lga_code"), F.col("n_regionkey").cast("string").alias("sen"), shape), to, "lgas", "shape")
     return office.attribute_lookup(office.read_gpkg(t.spark, to, "lgas", "lga_code string, sen string"), "lga_code", "sen")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,58 @@ from ..shared import ship
 BLOCK = 512
 
 
+def _letters(texts: list[str]) -> np.ndarray:
+    """Letter counts in 32 columns; letters that share a column only loosen the bounds."""
+    out = np.zeros((len(texts), 32), np.int16)
+    for k, t in enumerate(texts):
+        for c in t:
+            out[k, ord(c) & 31] += 1
+    return out
+
+
+class Bounds:
+    """Upper bounds of ``weighted_ratio`` with each of ``choices``, from lengths and letter counts."""
+
+    def __init__(self, choices: list[str]):
+        self.choices, self.tokens = choices, [frozenset(c.split()) for c in choices]
+        self.forms = [(_letters(x), np.array([len(t) for t in x])) for x in self._forms(choices)]
+
+    @staticmethod
+    def _forms(texts: list[str]) -> tuple[list[str], ...]:
+        """As they are, with sorted tokens, with sorted distinct tokens."""
+        return texts, [" ".join(sorted(t.split())) for t in texts], [" ".join(sorted(set(t.split()))) for t in texts]
+
+    def of(self, x: str) -> np.ndarray:
+        whole, part = [], []
+        for (letters, size), (own,) in zip(self.forms, self._forms([x])):
+            common = np.minimum(letters, _letters([own])).sum(1, dtype=np.int64)
+            short = np.minimum(size, len(own))
+            # a common subsequence is in both multisets; a window of the longer side may be as short as it
+            whole.append(200.0 * common / np.maximum(1, size + len(own)))
+            part.append(200.0 * common / np.maximum(1, short + common))
+        mine = frozenset(x.split())
+        shared = np.array([not mine.isdisjoint(t) for t in self.tokens])
+        size = self.forms[0][1]
+        lengths = np.maximum(size, len(x)) / np.maximum(1, np.minimum(size, len(x)))
+        scale = np.where(lengths <= 8, 0.9, 0.6)
+        near = np.maximum(whole[0], 0.95 * np.where(shared, 100.0, np.maximum(whole[1], whole[2])))
+        far = np.maximum(whole[0], scale * np.maximum(part[0], 0.95 * np.where(shared, 100.0, np.maximum(part[1], part[2]))))
+        return np.where(lengths < 1.5, near, far) + 1e-9
+
+    def best(self, x: str) -> tuple[float, str | None]:
+        """The best score and its choice, the first by text of equals; scores only what could still win."""
+        if not x or not self.choices:
+            return 0.0, min(self.choices, default=None)
+        bounds, score, found = self.of(x), -1.0, None
+        for k in np.argsort(-bounds, kind="stable"):
+            if bounds[k] < score:
+                break
+            s = weighted_ratio(x, self.choices[k])
+            if s > score or (s == score and self.choices[k] < found):
+                score, found = s, self.choices[k]
+        return score, found
+
+
 def fuzzy_best_match(rows: DataFrame, name: str, choices: DataFrame, choice: str, threshold: float = 85.0) -> DataFrame:
     """``rows`` with match_method, match_score and matched (the choice).
 
@@ -22,8 +75,9 @@ def fuzzy_best_match(rows: DataFrame, name: str, choices: DataFrame, choice: str
     is kept. Of equal scores the first choice by its text wins.
 
     Exact matches are an equi-join. Only the distinct names that are left are
-    scored, against the choices in blocks of ``BLOCK``: neither side is
-    collected or broadcast whole, and a name returns one row for a block.
+    looked up, in blocks of ``BLOCK`` choices, and of a block only the choices
+    whose letters could give the best score are scored: neither side is
+    collected, and a name returns one row for a block.
     """
     ship(rows.sparkSession)
     known = choices.where(F.col(choice).isNotNull()).select(F.col(choice).alias("__choice")).distinct()
@@ -33,14 +87,20 @@ def fuzzy_best_match(rows: DataFrame, name: str, choices: DataFrame, choice: str
     blocks = known.crossJoin(F.broadcast(n)).groupBy(F.pmod(F.xxhash64("__choice"), F.greatest("n", F.lit(1))).alias("b")).agg(F.sort_array(F.collect_list("__choice")).alias("__block"))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, Bounds] = {}
         for b in batches:
             found = []
             for x, block in zip(b["__name"], b["__block"]):
-                score, c = max(((weighted_ratio(x, c), c) for c in block), key=lambda p: p[0], default=(0.0, None))
-                found.append((x, score, c))
+                key = tuple(block)
+                if key not in held:
+                    held.clear()
+                    held[key] = Bounds(list(key))
+                found.append((x, *held[key].best(x)))
             yield pd.DataFrame(found, columns=["__name", "__score", "__best"])
 
-    scored = rest.crossJoin(blocks.select("__block")).mapInPandas(best, "__name string, __score double, __best string")
+    # a pair of name and block is much work, so few pairs are not put into one task; sorted, so that a block is read once
+    pairs = rest.crossJoin(blocks).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).sortWithinPartitions("b")
+    scored = pairs.select("__name", "__block").mapInPandas(best, "__name string, __score double, __best string")
     # most score, then least text
     top = scored.groupBy("__name").agg(F.min(F.struct((-F.col("__score")).alias("s"), F.col("__best").alias("c"))).alias("t"))
     out = out.join(top, F.col(name) == F.col("__name"), "left")

@@ -30,15 +30,35 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(to)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the checkpoint directory that Spark has, or spark.checkpoint.dir.
+
+    Only a local session without either makes a folder of its own; on a cluster
+    that would be a different folder on each machine, so there it is an error.
+    """
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        to = sc.getConf().get("spark.checkpoint.dir")
+        if not to and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(to or tempfile.mkdtemp(prefix="gapwise-cp-"))
+    return sc.getCheckpointDir()
+
+
+def remove_later(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` when the application ends: a result may be read from it until then."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint in spark.checkpoint.dir; a local folder only where none is set.
+    """``df`` from a reliable checkpoint in ``shared_folder``.
 
     The rows are wrapped anew because a checkpoint hands on the size estimates of
     the plan that it replaces, which grow without end over rounds of joins.
     """
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gapwise-cp-"))
+    spark = df.sparkSession
+    shared_folder(spark)
     kept = df.checkpoint(eager=True)._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 

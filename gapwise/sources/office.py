@@ -103,12 +103,15 @@ def point_wkb(x: float, y: float) -> bytes:
 
 
 def rings_of(wkb: bytes) -> list[list[tuple[float, float]]]:
-    """Point lists of a point, line, polygon or a collection of them, little or big endian, two dimensions."""
+    """Point lists of a point, line, polygon or a collection of them, little or big endian; Z and M values are left out."""
 
     def one(at: int) -> tuple[list, int]:
         e = "<" if wkb[at] else ">"
-        kind, at = struct.unpack_from(f"{e}I", wkb, at + 1)[0] % 1000, at + 5
-        line = lambda at, n: ([struct.unpack_from(f"{e}dd", wkb, at + 16 * i) for i in range(n)], at + 16 * n)
+        code, at = struct.unpack_from(f"{e}I", wkb, at + 1)[0], at + 5
+        # further values a point: 1000s for Z, M and both, or the two high bits of the older form
+        more = ((code & 0x0FFFFFFF) // 1000 + 1) // 2 + (code >> 31) + (code >> 30 & 1)
+        kind, step = (code & 0x0FFFFFFF) % 1000, 8 * (2 + more)
+        line = lambda at, n: ([struct.unpack_from(f"{e}dd", wkb, at + step * i) for i in range(n)], at + step * n)
         if kind == 1:
             p, at = line(at, 1)
             return [p], at
@@ -203,12 +206,12 @@ EXPORT_ROWS = 1_000_000
 
 
 def write_gpkg(df: DataFrame, path: str, layer: str, wkb: str = "wkb", srs: int = 4326) -> None:
-    """``df`` as a layer; ValueError over ``EXPORT_ROWS`` rows."""
+    """``df`` as a layer; ``wkb`` holds WKB or a struct(x, y), which becomes a point. ValueError over ``EXPORT_ROWS`` rows."""
     names = [c for c in df.columns if c != wkb]
     rows = df.select(*names, wkb).limit(EXPORT_ROWS + 1).collect()
     if len(rows) > EXPORT_ROWS:
         raise ValueError("too many rows for one file")
-    put_file(df.sparkSession, path, gpkg_bytes(layer, names, [(*r[:-1], bytes(r[-1])) for r in rows], srs))
+    put_file(df.sparkSession, path, gpkg_bytes(layer, names, [(*r[:-1], point_wkb(*r[-1]) if isinstance(r[-1], tuple) else bytes(r[-1])) for r in rows], srs))
 
 
 def write_xlsx(df: DataFrame, path: str) -> None:

@@ -193,3 +193,47 @@ def test_wkb_shapes():
     many = struct.pack(">BII", 0, 6, 2) + polygon * 2
     assert office.rings_of(polygon) == [ring] and office.rings_of(many) == [ring, ring]
     assert office.rings_of(office.wkb_of(office.gpkg_blob(office.point_wkb(1.5, 2.5)))) == [[(1.5, 2.5)]]
+
+
+def test_wkb_z_and_m():
+    import struct
+
+    for code in (1001, 2001, 0x80000001, 0x40000001):
+        assert office.rings_of(struct.pack("<BIddd", 1, code, 1.0, 2.0, 9.0)) == [[(1.0, 2.0)]]
+    line = struct.pack("<BIIdddddddd", 1, 3002, 2, 1.0, 2.0, 8.0, 9.0, 3.0, 4.0, 8.0, 9.0)
+    assert office.rings_of(line) == [[(1.0, 2.0), (3.0, 4.0)]]
+    assert office.rings_of(struct.pack("<BIIdddddddd", 1, 0xC0000002, 2, 1.0, 2.0, 8.0, 9.0, 3.0, 4.0, 8.0, 9.0)) == [[(1.0, 2.0), (3.0, 4.0)]]
+
+
+def test_centroid_with_a_hole_and_a_second_part(spark):
+    from gapwise.functions import geo
+
+    square = lambda x, y, n: [(x, y), (x + n, y), (x + n, y + n), (x, y + n), (x, y)]
+    rings = [square(0.0, 0.0, 4.0), square(0.0, 0.0, 2.0)[::-1], square(10.0, 0.0, 2.0)]
+    df = spark.createDataFrame([(rings,)], "r array<array<struct<x: double, y: double>>>")
+    c = df.select(geo.area_centroid(F.col("r")).alias("c")).first().c
+    assert (c.x, c.y, c.area2) == (pytest.approx((16 * 2 - 4 * 1 + 4 * 11) / 16), pytest.approx((16 * 2 - 4 + 4) / 16), 32.0)
+
+
+def test_fuzzy_against_all_pairs(spark):
+    from gapwise.functions.similarity import weighted_ratio
+
+    rng = random.Random(7)
+    words = ["north", "south", "ward", "bank", "old", "new", "river", "a", "hill top"]
+    name = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 6)))
+    edit = lambda x: "".join(c for c in x if rng.random() > 0.15) or "x"
+    choices = sorted({name() for _ in range(60)})
+    names = sorted({edit(name()) for _ in range(80)} | {"", "zzz"})
+    got = matching.fuzzy_best_match(spark.createDataFrame([(n,) for n in names], "n string"), "n", spark.createDataFrame([(c,) for c in choices], "c string"), "c").collect()
+    for r in got:
+        score, best = min((-weighted_ratio(r.n, c), c) for c in choices)
+        if r.n not in choices:
+            assert r.match_score == pytest.approx(-score) and r.matched == (best if -score >= 85 else None), r
+
+
+def test_shared_folder_is_the_one_that_spark_has(spark):
+    from gapwise.shared import cut, shared_folder
+
+    at = shared_folder(spark)
+    assert at == spark.sparkContext.getCheckpointDir() == shared_folder(spark)
+    assert cut(spark.range(3)).count() == 3
