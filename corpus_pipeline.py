@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from gapwise.llm.lines import dedup_lines
 from gapwise.llm.minhash import drop_near_duplicates
 from gapwise.llm.packing import pack_documents
 from gapwise.llm.suffixes import kept_texts
+from gapwise.shared import remove_later, shared_folder
 
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -41,7 +41,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without near repeats of earlier lines; documents that have no word left go."""
+    """Texts without near repeats of earlier lines; documents that have no word left go.
+
+    A null text counts as empty and loses nothing, so its row stays, with an
+    empty text. Rows that repeat id and text have one result. No rows give none.
+    """
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     x = dedup_lines(docs, carry=rest).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(WORD))
     x = x.withColumnRenamed("kept_text", "text")
@@ -49,18 +53,26 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five words, similarity 0.8."""
+    """One document of each group of near duplicates: five words, similarity 0.8.
+
+    Texts without a word are near to none and stay. Of rows that repeat id and
+    text one stays. Null ids come last. No rows give none.
+    """
     return drop_near_duplicates(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 100 bytes that occur earlier; documents that have no word left go."""
+    """Texts without passages of 100 bytes that occur earlier; documents that lose bytes and have no word left go.
+
+    A character of which some bytes go goes whole. A null text counts as empty.
+    No rows give none.
+    """
     x = kept_texts(docs)
     return _again(x.where(~F.col("__cut") | F.col("text").rlike(WORD)), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All that is left, in windows of 1024 ids."""
+    """All that is left, in windows of 1024 ids; a null or empty text is one closing id. No rows give none."""
     import public_tokenizers as P
 
     return pack_documents(docs, P.path("byte_bpe_50k.json"))
@@ -73,9 +85,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result goes to Parquet in the shared folder and is read again."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gapwise-pipeline-")
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; each result goes to Parquet in the shared folder and is read again.
+
+    The folder goes when the application ends, since the result is read from it.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    remove_later(spark, folder)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         to = f"{folder}/{i}-{name.replace(' ', '_')}"
