@@ -437,14 +437,11 @@ def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str, car
             yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), *t.columns, pa.array(pos[at] - j)], ["v", "none", "id", "row", "start"])
 
     single = split.where(F.col("n") > HOT).drop("n").mapInArrow(passages, f"v long, none boolean, id {kind}, row long, start long")
-    # the first of a passage in two steps, and the join by passage and salt: no task has all of a frequent one
-    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    single = single.withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(salts)).cast("int"))
+    # the first of a passage by partial aggregation; dealt once more, so that both sides of the join come straight
+    # from a shuffle and AQE can split the partition of a frequent passage
     place = F.struct("none", "id", "row", "start")
-    salted = single.groupBy("v", "salt").agg(F.min(place).alias("q"), F.count("*").alias("n"))
-    first = salted.groupBy("v").agg(F.min("q").alias("p"), F.sum("n").alias("n")).where("n > 1").select("v", "p")
-    first = salted.select("v", "salt", "q", "n").join(first, "v").select("v", "salt", "p")
-    again = single.join(first, ["v", "salt"]).where(place != F.col("p")).select("row", "start", (F.col("start") + length).alias("end"))
+    first = single.groupBy("v").agg(F.min(place).alias("p"), F.count("*").alias("n")).where("n > 1").select("v", "p").repartition("v")
+    again = single.join(first, "v").where(place != F.col("p")).select("row", "start", (F.col("start") + length).alias("end"))
     return held, firsts.select("row"), spans.unionByName(again)
 
 
@@ -488,7 +485,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     intervals, joins as a level, and equal levels merge their sorted arrays. A
     key with more than HOT contexts is split by the content around the anchor,
     and what is still hot becomes single passages that are grouped by hash, with
-    partial aggregation and salts. Nothing is capped or dropped.
+    partial aggregation. Nothing is capped or dropped.
 
     ``as_text`` gives ``kept`` as text: a character of which a removed run has
     some bytes goes whole, since the others alone are no character.
