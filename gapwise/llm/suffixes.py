@@ -15,6 +15,8 @@ from .base import mix
 GRAM = 24
 #: A key with more contexts is split by the content around it.
 HOT = 20_000
+#: Passages that are looked up in a broadcast: the most frequent ones, at most so many rows.
+TOP = 4_096
 BATCH = 16_384
 BLOCKS = 4
 #: Contexts that a task looks at together; their keys are never split, so HOT more at most.
@@ -437,11 +439,14 @@ def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str, car
             yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), *t.columns, pa.array(pos[at] - j)], ["v", "none", "id", "row", "start"])
 
     single = split.where(F.col("n") > HOT).drop("n").mapInArrow(passages, f"v long, none boolean, id {kind}, row long, start long")
-    # the first of a passage by partial aggregation; dealt once more, so that both sides of the join come straight
-    # from a shuffle and AQE can split the partition of a frequent passage
+    # the first of a passage by partial aggregation; rows of the most frequent passages find it in a broadcast of at
+    # most TOP rows, and only the others are dealt by passage
     place = F.struct("none", "id", "row", "start")
-    first = single.groupBy("v").agg(F.min(place).alias("p"), F.count("*").alias("n")).where("n > 1").select("v", "p").repartition("v")
-    again = single.join(first, "v").where(place != F.col("p")).select("row", "start", (F.col("start") + length).alias("end"))
+    first = single.groupBy("v").agg(F.min(place).alias("p"), F.count("*").alias("n")).where("n > 1")
+    frequent = first.where(F.col("n") > TOP).orderBy(F.desc("n"), "v").limit(TOP)
+    rest = single.join(F.broadcast(frequent.select("v")), "v", "left_anti").join(first.select("v", "p"), "v")
+    again = single.join(F.broadcast(frequent.select("v", "p")), "v").unionByName(rest)
+    again = again.where(place != F.col("p")).select("row", "start", (F.col("start") + length).alias("end"))
     return held, firsts.select("row"), spans.unionByName(again)
 
 
@@ -485,7 +490,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     intervals, joins as a level, and equal levels merge their sorted arrays. A
     key with more than HOT contexts is split by the content around the anchor,
     and what is still hot becomes single passages that are grouped by hash, with
-    partial aggregation. Nothing is capped or dropped.
+    partial aggregation. The TOP most frequent passages are looked up in a
+    broadcast, so that none fills a task. Nothing is capped or dropped.
 
     ``as_text`` gives ``kept`` as text: a character of which a removed run has
     some bytes goes whole, since the others alone are no character.

@@ -75,6 +75,8 @@ def test_levels_and_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", 3)
     check(spark, made(4, "abcdefgh "))
     check(spark, made(5, "ab"))
+    monkeypatch.setattr(suffixes, "TOP", 2)  # some passages from the broadcast, the others dealt
+    check(spark, made(5, "ab"))
 
 
 def test_cut_characters_go_whole(spark):
