@@ -365,8 +365,9 @@ def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str, car
 
     # all columns, or the id is pruned and the exchange of texts is not the one that the others use
     found = whole.select("row", "text", "id", *more).mapInArrow(find, "key long, row long, pos long")
-    shared = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > HOT).alias("hot"))
-    asks = found.join(shared, "key").groupBy("row", "hot").agg(F.collect_set("pos").alias("asks"))
+    # the complement is a key that the counts are not dealt by: both sides come from exchanges of their own, of which AQE can split a hot key's
+    shared = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("key").alias("other"), (F.col("n") > HOT).alias("hot"))
+    asks = found.join(shared, F.bitwise_not("key") == F.col("other")).groupBy("row", "hot").agg(F.collect_set("pos").alias("asks"))
 
     def contexts(hot: bool) -> DataFrame:
         some = whole.join(asks.where(F.col("hot") == hot).select("row", "asks").hint("shuffle_hash"), "row")
