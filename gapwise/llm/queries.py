@@ -86,12 +86,30 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(own)))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import contract_rules, judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), contract_rules(spark))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op3_suffix_array_dedup, op4_byte_bpe, op5_line_dedup, op6_token_counts, op7_embedding_dedup, op8_packing, op9_quality_rules, op10_chat_format)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op3_suffix_array_dedup, op4_byte_bpe, op5_line_dedup, op6_token_counts, op7_embedding_dedup, op8_packing, op9_quality_rules, op10_chat_format, op11_phrases, op12_search, op13_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where SQL can express the result; the tests hold the others to brute force."""
-    from .oracles import OP1, OP5, OP7, OP10
+    from .oracles import OP1, OP5, OP7, OP10, OP11, OP12, OP13
 
-    return {"op1_minhash_dedup": OP1, "op5_line_dedup": OP5, "op7_embedding_dedup": OP7, "op10_chat_format": OP10}
+    return {"op1_minhash_dedup": OP1, "op5_line_dedup": OP5, "op7_embedding_dedup": OP7, "op10_chat_format": OP10, "op11_phrases": OP11, "op12_search": OP12, "op13_url_rules": OP13}
