@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import remove_later, shared_folder
@@ -303,6 +303,11 @@ def phrase_counts(docs: DataFrame, folder: str, longest: int = 3, least: int = 1
     return out
 
 
+def score() -> Column:
+    """floor(10^6 a a / (l r)) in exact arithmetic; a is at most l and r."""
+    return F.expr("(CAST(1000000 AS DECIMAL(38, 0)) * a * a) div (CAST(l AS DECIMAL(38, 0)) * r)")
+
+
 def collocations(docs: DataFrame, longest: int = 3, least: int = 10, percent: int = 50, most: int = 2000, bits: int = BUCKETS, size: int = SLICE, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The ``most`` best phrases of 2 to ``longest`` words of each language.
 
@@ -341,8 +346,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, percent: in
     cuts = cuts.select("lang", "phrase", "a", "k", F.expr("array_join(slice(w, 1, k), ' ')").alias("first"), F.expr("array_join(slice(w, k + 1, size(w) - k), ' ')").alias("rest"))
     cuts = cuts.join(parts.select("lang", F.col("phrase").alias("first"), F.col("n").alias("l")), ["lang", "first"])
     cuts = cuts.join(parts.select("lang", F.col("phrase").alias("rest"), F.col("n").alias("r")), ["lang", "rest"])
-    score = F.expr("(CAST(1000000 AS DECIMAL(38, 0)) * a * a) div (CAST(l AS DECIMAL(38, 0)) * r)").alias("score")
-    best = cuts.select("lang", "phrase", "a", F.struct(score, "k", "l", "r").alias("cut")).groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.min("cut").alias("cut"))
+    best = cuts.select("lang", "phrase", "a", F.struct(score().alias("score"), "k", "l", "r").alias("cut")).groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.min("cut").alias("cut"))
     best = best.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
 
     # first the best of each share of a language, then of the language
