@@ -51,8 +51,14 @@ def remove_later(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` with all it holds, for what nothing reads again."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint in ``shared_folder``.
+    """``df`` from a reliable checkpoint in ``shared_folder``, which goes when the application ends.
 
     The rows are wrapped anew because a checkpoint hands on the size estimates of
     the plan that it replaces, which grow without end over rounds of joins.
@@ -60,6 +66,11 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     shared_folder(spark)
     kept = df.checkpoint(eager=True)._jdf
+    rdd = kept.queryExecution().toRdd()
+    while not rdd.getCheckpointFile().isDefined() and not rdd.dependencies().isEmpty():
+        rdd = rdd.dependencies().head().rdd()
+    if rdd.getCheckpointFile().isDefined():
+        remove_later(spark, rdd.getCheckpointFile().get())
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
