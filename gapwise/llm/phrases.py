@@ -11,11 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import remove_later, shared_folder
+from ..shared import remove, remove_later, shared_folder
 from . import base
 
 #: Bytes of text of one coded row.
-SLICE = 4 << 20
+SLICE = 8 << 20
 #: Counters of the buckets, as a power of two, and those of one chunk.
 BUCKETS, CHUNK = 26, 16
 
@@ -60,28 +60,38 @@ def coded(docs: DataFrame, keep: int, size: int = SLICE, text_col: str = "text",
 
     def row(lang, tokens, skip):
         d = pa.array(tokens, pa.binary()).dictionary_encode()
-        codes, words = d.indices.to_numpy().astype("<i4"), d.dictionary
-        gap = pc.index(words, pa.scalar(b"\xff", pa.binary())).as_py()
-        if gap >= 0:
-            codes = np.where(codes == gap, -1, codes).astype("<i4")
+        order = pc.sort_indices(d.dictionary).to_numpy()  # phrases then come sorted out of the passes, and compress better
+        place = np.empty(len(order), "<i4")
+        place[order] = np.arange(len(order))
+        words, codes = d.dictionary.take(pa.array(order)), place[d.indices.to_numpy()]
+        if len(words) and words[-1].as_py() == b"\xff":  # no word is greater
+            codes[codes == len(words) - 1] = -1
         listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
         return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), listed, pa.array([codes.tobytes()], pa.binary()), pa.array([skip], pa.int32())], ["lang", "words", "codes", "skip"])
 
     def run(batches):
-        for b in base.slices(batches, "__text", size):
-            by_lang: dict = {}
+        held: dict[str, list[bytes]] = {}
+        sizes: dict[str, int] = {}
+        total = 0
+        for b in batches:
             for lang, cell in zip(b.column(0).to_pylist(), b.column(1)):
                 x = cell.as_buffer()
                 if x is None or not x.size:
                     continue
                 text = x.to_pybytes().translate(TABLE)
-                if len(text) <= size:
-                    by_lang.setdefault(lang, []).append(text)
-                else:
+                if len(text) > size:
                     for tokens, skip in text_parts(text, size, keep):
                         yield row(lang, tokens, skip)
-            for lang, texts in by_lang.items():
-                yield row(lang, split_words(b"\xff".join(texts)), 0)
+                    continue
+                held.setdefault(lang, []).append(text)
+                sizes[lang] = sizes.get(lang, 0) + len(text)
+                total += len(text)
+                if sizes[lang] >= size or total >= 4 * size:
+                    most = max(sizes, key=sizes.get)
+                    total -= sizes.pop(most)
+                    yield row(most, split_words(b"\xff".join(held.pop(most))), 0)
+        for lang, texts in held.items():
+            yield row(lang, split_words(b"\xff".join(texts)), 0)
 
     lang = F.coalesce(F.col(f"`{lang_col}`"), F.lit("und"))
     return docs.select(lang.alias("__lang"), F.col(f"`{text_col}`").cast("binary").alias("__text")).mapInArrow(run, ROW)
@@ -281,12 +291,12 @@ def phrase_counts(docs: DataFrame, folder: str, longest: int = 3, least: int = 1
     Both only rule out; what is left is counted by its words.
     """
     spark = docs.sparkSession
-    coded(docs, longest - 1, size, text_col, lang_col).write.parquet(f"{folder}/codes")
+    coded(docs, longest - 1, size, text_col, lang_col).write.option("compression", "zstd").parquet(f"{folder}/codes")
     rows = spark.read.parquet(f"{folder}/codes")
     out, maps = [], {}
     for n in range(longest + 1):
         sent = spark.sparkContext.broadcast(maps)
-        counting_pass(rows, n, longest, sent, bits, least).write.parquet(f"{folder}/pass{n}")
+        counting_pass(rows, n, longest, sent, bits, least).write.option("compression", "zstd").parquet(f"{folder}/pass{n}")
         sent.unpersist()
         counted = spark.read.parquet(f"{folder}/pass{n}")
         maps = {}
@@ -297,9 +307,12 @@ def phrase_counts(docs: DataFrame, folder: str, longest: int = 3, least: int = 1
             if n < longest:
                 maps["frequent", n] = frequent_bitmap(out[-1], n, bits)
         else:
-            out.append(counted.where("kind = 't'").groupBy("lang").agg(F.sum("n").alias("n")))
+            counted.where("kind = 't'").groupBy("lang").agg(F.sum("n").alias("n")).write.parquet(f"{folder}/words")
+            out.append(spark.read.parquet(f"{folder}/words"))
         if n < longest:
             maps["bucket", n + 1] = bucket_bitmap(counted, least, bits)
+        remove(spark, f"{folder}/pass{n}")  # its counts and bitmaps are kept
+    remove(spark, f"{folder}/codes")
     return out
 
 
