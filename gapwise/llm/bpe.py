@@ -19,6 +19,10 @@ from . import base
 #: and the contractions end with a letter.
 SAFE = re.compile(r"[^\W_](?=[\n\r\t -/:-@\[-`{-~])")
 LONG = 1 << 18
+#: White space as the pattern's ``\\s`` has it (the Unicode property).
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: White space so long that the library's pattern engine, which backtracks over it, may end the process.
+RUN = re.compile(f"[{WHITE}]{{{1 << 16},}}")
 
 
 @lru_cache(2)
@@ -49,9 +53,27 @@ def safe_pieces(text: str, size: int = LONG) -> Iterator[str]:
 
 
 def encode(enc, text: str, size: int = LONG) -> np.ndarray:
+    """Ids of a whole text. The pattern takes a run of white space but for its last character, if text follows, as one match.
+
+    Long runs are therefore cut out and given to the merges as the matches that
+    they are; an unbroken run of anything else is one match of the library's own.
+    """
     if len(text) <= size:
         return np.array(enc.encode_ordinary(text), "<u4")
-    return np.concatenate([np.array(enc.encode_ordinary(p), "<u4") for p in safe_pieces(text, size)])
+    out = []
+    for p in safe_pieces(text, size):
+        at = 0
+        for m in RUN.finditer(p):
+            end = m.end() if m.end() == len(p) else m.end() - 1
+            out.append(np.array(enc.encode_ordinary(p[at : m.start()]), "<u4"))
+            out.append(np.array(enc._encode_single_piece(p[m.start() : end]), "<u4"))
+            at = end
+        out.append(np.array(enc.encode_ordinary(p[at:]), "<u4"))
+    return np.concatenate(out)
+
+
+def decode(enc, ids: np.ndarray, most: int = 1 << 20) -> bytes:
+    return b"".join(enc.decode_bytes(ids[at : at + most].tolist()) for at in range(0, len(ids), most))
 
 
 OUT = "n_tokens long, ids binary, decoded binary"
@@ -64,7 +86,9 @@ def transcode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     one binary) and decoded (the bytes that the ids stand for). Each match of
     ``pattern`` is encoded by itself, no text is a special token. A null or
     empty text has no tokens and empty binaries; an id may be null or repeat,
-    each row is encoded on its own. Other columns are ignored.
+    each row is encoded on its own. A text of any length is encoded whole, also
+    one unbroken run of letters or white space. No rows give none. Other columns
+    are ignored.
     ``path`` is a rank file that every executor can open.
     """
     base.ship(docs.sparkSession)
@@ -79,7 +103,7 @@ def transcode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 x = encode(enc, t, size)
                 n.append(len(x))
                 ids.append(x.tobytes())
-                raw.append(enc.decode_bytes(x.tolist()))
+                raw.append(decode(enc, x))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(raw, pa.binary())], [id_col, "n_tokens", "ids", "decoded"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {OUT}")
