@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapwise.functions import rules
-from gapwise.operators import matching, network, survey, tables
+from gapwise.operators import matching, network, overlay, survey, tables
 from gapwise.plans import access, coverage
 from gapwise.sources import office
 
@@ -81,7 +81,7 @@ def test_both_shortest_path_forms_agree(spark):
     assert read(network.shortest_paths(s, e)) == read(network.relaxed_paths(s, e))
 
 
-def test_least_ways_forms_agree(spark, monkeypatch):
+def test_least_ways_forms_agree(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(40), rng.randrange(40), float(rng.randrange(1, 9))) for _ in range(60)]
     e = network.both_ways(spark.createDataFrame([x for x in edges if x[0] != x[1]], "a long, b long, weight double"))
@@ -94,8 +94,7 @@ def test_least_ways_forms_agree(spark, monkeypatch):
                 want[g, r.node] = min(want.get((g, r.node), (1e9, "")), (off + r.cost, t))
     read = lambda df: {(r.grp, r.node): (r.way, r.target) for r in df.collect()}
     assert read(network.least_ways(s, e)) == want
-    monkeypatch.setattr(network, "EDGES_AT_HAND", 1)
-    assert read(network.least_ways(s, e)) == want
+    assert read(overlay.least_ways(s, e, at_once=1)) == want
 
 
 def test_nearest_node_by_cells(spark, monkeypatch):
