@@ -27,22 +27,24 @@ def nations(t: Tables) -> DataFrame:
     return t("nation").select("n_nationkey", "n_name", (F.col("n_nationkey") * 0.5).alias("lon"), (F.col("n_regionkey") * 1.25).alias("lat"))
 
 
-@query(NATIONS)
+@query("""SELECT c_custkey, concat(c_name, ' {"', c_custkey % 7, '\\}]') AS name, c_custkey % 360 * 0.5::DOUBLE AS lon, c_custkey % 170 * 0.25::DOUBLE AS lat FROM customer""")
 def geojson_source(t: Tables) -> DataFrame:
-    to = folder(t)
-    x = nations(t).withColumn("points", F.array(point_if(F.lit(True), F.col("lon"), F.col("lat"))))
-    geojson.write_geojson(x.coalesce(1), to, "points", ["n_nationkey", "n_name"])
-    got = geojson.read_geojson(t.spark, to, "n_nationkey int, n_name string", "Point")
-    return got.select("n_nationkey", "n_name", F.col("points")[0]["x"].alias("lon"), F.col("points")[0]["y"].alias("lat"))
+    """Points with braces and quotes in their names, from as many files as there are tasks, each read by blocks."""
+    to, k = folder(t), F.col("c_custkey")
+    name = F.concat("c_name", F.lit(' {"'), (k % 7).cast("string"), F.lit("\\}]")).alias("name")
+    x = t("customer").select(k, name, F.array(point_if(F.lit(True), k % 360 * 0.5, k % 170 * 0.25)).alias("points"))
+    geojson.write_geojson(x, to, "points", ["c_custkey", "name"])
+    got = geojson.read_geojson(t.spark, to, "c_custkey long, name string", "Point")
+    return got.select("c_custkey", "name", F.col("points")[0]["x"].alias("lon"), F.col("points")[0]["y"].alias("lat"))
 
 
 @query(NATIONS)
 def mif_mid_source(t: Tables) -> DataFrame:
     """Attributes in one file and points in the other, by position."""
-    to, rows = folder(t), nations(t).orderBy("n_nationkey").collect()
-    mif = "Version 300\nColumns 2\n  n_nationkey Integer\n  n_name Char(25)\nData\n" + "".join(f"Point {r.lon} {r.lat}\n    Symbol (34,0,12)\n" for r in rows)
-    office.put_file(t.spark, f"{to}/a.mif", mif.encode("latin-1"))
-    office.put_file(t.spark, f"{to}/a.mid", "".join(f'{r.n_nationkey},"{r.n_name}"\n' for r in rows).encode("latin-1"))
+    to, rows = folder(t), nations(t).sort("n_nationkey")
+    head = "Version 300\nColumns 2\n  n_nationkey Integer\n  n_name Char(25)\nData"
+    delimited.write_text(rows.select(F.concat(F.lit("Point "), "lon", F.lit(" "), "lat", F.lit("\n    Symbol (34,0,12)")).alias("value")), f"{to}/a.mif", head)
+    delimited.write_text(rows.select(F.concat("n_nationkey", F.lit(',"'), "n_name", F.lit('"')).alias("value")), f"{to}/a.mid")
     return delimited.read_mif_mid(t.spark, f"{to}/a.mif", f"{to}/a.mid", "n_nationkey int, n_name string").drop("row_index")
 
 
@@ -79,11 +81,14 @@ def sink_roundtrip(t: Tables) -> DataFrame:
     return rounded(delimited.read_csv(t.spark, to, "s_suppkey long, s_name string, s_acctbal double, note string"), 2)
 
 
-@query("SELECT n_nationkey, n_name FROM nation")
+@query("""SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place, c_custkey, concat('a "note" of', chr(10), c_name, ', ', c_mktsegment) AS note FROM customer""")
 def headless_source(t: Tables) -> DataFrame:
-    to = folder(t)
-    t("nation").select("n_nationkey", "n_name").coalesce(1).write.option("header", False).csv(to)
-    return delimited.read_headless(t.spark, to, "n_nationkey int, n_name string").drop("row_index")
+    """Customers by falling balance in one file, in which notes hold quotes and line feeds; read back with their places."""
+    to = f"{folder(t)}/notes.csv"
+    note = F.concat(F.lit('a "note" of\n'), "c_name", F.lit(", "), "c_mktsegment").alias("note")
+    delimited.write_csv(t("customer").select("c_custkey", note, "c_acctbal"), to, one_file=True, order=["-c_acctbal", "c_custkey"], quoteAll=True, escape='"')
+    got = delimited.read_headless(t.spark, to, "c_custkey long, note string, c_acctbal double", "UTF-8").where("row_index > 0")
+    return got.select(F.col("row_index").alias("place"), "c_custkey", "note")
 
 
 @query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")

@@ -42,13 +42,14 @@ def coord_status(t: Tables) -> DataFrame:
 
 
 RAW = """CASE c_custkey % 8 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN concat(c_custkey % 180, '.', c_custkey % 1000) WHEN 3 THEN concat(c_custkey % 12, ',', 100 + c_custkey % 900, ',', 100 + c_custkey % 900)
-WHEN 4 THEN concat(c_custkey % 15, '°', c_custkey % 60, '''', c_custkey % 59, '"', CASE WHEN c_custkey % 16 = 4 THEN 'N' ELSE 'S' END) WHEN 5 THEN concat(c_custkey % 15, '°', c_custkey % 60, '''') WHEN 6 THEN concat(c_custkey % 9, 'd') ELSE concat('-', c_custkey % 7, ',9') END"""
+WHEN 4 THEN concat(c_custkey % 15, '°', c_custkey % 60, '''', c_custkey % 59, '"', CASE WHEN c_custkey % 16 = 4 THEN 'N' ELSE 'S' END) WHEN 5 THEN concat(c_custkey % 15, '°', c_custkey % 60, '''') WHEN 6 THEN concat(1 + c_custkey % 9, CASE WHEN c_custkey % 16 = 6 THEN ',908,' ELSE 'd' END) ELSE CASE WHEN c_custkey % 16 = 7 THEN concat(c_custkey % 7, '°30’.5”W') ELSE concat('-', c_custkey % 7, ',9') END END"""
 
 
 @query(f"""WITH x AS (SELECT c_custkey, c_custkey % 8 AS k, {RAW} AS raw FROM customer)
 SELECT c_custkey, round(CASE WHEN k = 2 THEN raw::DOUBLE WHEN k = 3 AND c_custkey % 12 >= 0 THEN concat(c_custkey % 12, '.', 100 + c_custkey % 900, 100 + c_custkey % 900)::DOUBLE
-WHEN k = 4 THEN (CASE WHEN c_custkey % 16 = 4 THEN 1.0 ELSE -1.0 END) * ((c_custkey % 15)::DOUBLE + (c_custkey % 60) / 60.0::DOUBLE + (c_custkey % 59) / 3600.0::DOUBLE) END, 6) + 0.0::DOUBLE AS value,
-CASE WHEN k IN (0, 1) THEN 'missing' WHEN k = 2 THEN 'clean' WHEN k = 3 THEN 'comma_decimal' WHEN k = 4 THEN 'dms' ELSE 'unparseable' END AS method FROM x""")
+WHEN k = 4 THEN (CASE WHEN c_custkey % 16 = 4 THEN 1.0 ELSE -1.0 END) * ((c_custkey % 15)::DOUBLE + (c_custkey % 60) / 60.0::DOUBLE + (c_custkey % 59) / 3600.0::DOUBLE)
+WHEN c_custkey % 16 = 6 THEN 1 + c_custkey % 9 + 0.908::DOUBLE WHEN c_custkey % 16 = 7 THEN -((c_custkey % 7)::DOUBLE + 30 / 60.0::DOUBLE + 0.5::DOUBLE / 3600.0::DOUBLE) END, 6) + 0.0::DOUBLE AS value,
+CASE WHEN k IN (0, 1) THEN 'missing' WHEN k = 2 THEN 'clean' WHEN k = 3 OR c_custkey % 16 = 6 THEN 'comma_decimal' WHEN k = 4 OR c_custkey % 16 = 7 THEN 'dms' ELSE 'unparseable' END AS method FROM x""")
 def parse_coordinates(t: Tables) -> DataFrame:
     raw = F.expr(RAW.replace("''''", '"\'"').replace("'\"'", "'\\\"'"))
     x = t("customer").select("c_custkey", coordinates.parse_coordinate(raw).alias("p"))
@@ -92,9 +93,9 @@ def duplicate_resolution(t: Tables) -> DataFrame:
 def fuzzy_match(t: Tables) -> DataFrame:
     """Supplier names with a letter dropped or changed, against the names themselves."""
     k = F.col("s_suppkey") % 5
-    typed = F.when(k == 0, F.col("s_name")).when(k == 1, F.expr("concat(substring(s_name, 1, 3), substring(s_name, 5))")).when(k == 2, F.lower("s_name")).when(k == 3, F.lit(None)).otherwise(F.lit("no such place"))
+    typed = F.when(k == 0, F.col("s_name")).when(k == 1, F.expr("concat(substring(s_name, 1, 3), substring(s_name, 5))")).when(k == 2, F.lower("s_name")).when(k == 3, F.lit(None)).otherwise(F.concat(F.lit("no such place "), F.reverse("s_name")))
     x = t("supplier").select("s_suppkey", typed.alias("name"))
-    choices = t("supplier").where("s_suppkey % 10 < 6").select(F.col("s_name").alias("choice"))
+    choices = t("supplier").select(F.col("s_name").alias("choice"))
     return rounded(matching.fuzzy_best_match(x, "name", choices, "choice"))
 
 

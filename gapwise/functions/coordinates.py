@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .nulls import strip
 
-#: Degrees, minutes, seconds and a hemisphere, with straight or curly quotes.
-DMS = "^\\s*(\\d+)\\s*°\\s*(\\d+)\\s*['’]\\s*(\\d+(?:\\.\\d+)?)\\s*[\"”]\\s*([NSEWnsew])\\s*$"
+#: Degrees, minutes, seconds and a hemisphere in capitals, with straight or curly quotes; seconds such as .5 or 5. are numbers.
+DMS = "^\\s*(\\d+)°\\s*(\\d+)['’]\\s*(\\d+\\.?\\d*|\\.\\d+)[\"”]\\s*([NSEW])\\s*$"
 #: What both engines read as a number; keeps out 7d, 1_0 and the like.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 #: Closed box that a usable point lies in.
@@ -18,14 +18,14 @@ LON, LAT = (2.5, 15.0), (4.0, 14.0)
 def dms_to_decimal(c: Column) -> Column:
     part = lambda i: F.regexp_extract(c, DMS, i)
     value = part(1).cast("double") + part(2).cast("double") / 60 + part(3).cast("double") / 3600
-    return F.when(c.rlike(DMS), F.when(F.upper(part(4)).isin("S", "W"), -value).otherwise(value))
+    return F.when(c.rlike(DMS), F.when(part(4).isin("S", "W"), -value).otherwise(value))
 
 
 def fix_comma_decimal(c: Column) -> Column:
-    """``7,908,017`` is 7.908017: the first group is whole, the rest are decimals."""
+    """``7,908,017`` is 7.908017: the first group is whole, the rest are decimals. Groups may be empty: ``7,908,`` and ``,908`` are read."""
     t = strip(c)
     value = F.concat(F.substring_index(t, ",", 1), F.lit("."), F.regexp_replace(F.regexp_replace(t, "^[^,]*,", ""), ",", "")).try_cast("double")
-    return F.when(t.rlike(r"^\d+(,\d+)+$") & (value > 0) & (value < 180), value)
+    return F.when(t.rlike(r"^\+?(?=.*\d)\d*(,\d*)+$") & (value > 0) & (value < 180), value)
 
 
 def parse_coordinate(c: Column) -> Column:

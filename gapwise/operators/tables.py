@@ -74,19 +74,21 @@ def forward_fill(rows: DataFrame, columns: list[str], order: str, within: list[s
     """Blank cells take the last value above, in file order.
 
     Without ``within`` the order is that of one file and ``order`` is a number,
-    the row's place. Rows are split into ranges of equal width between the
-    column's least and most, which are read first and stand in the plan as
-    constants: the range of a row is a function of its place alone, however the
-    plan is run. Each range is filled by itself and the last value of the ranges
-    before is carried in, so no task sees all rows. A null place comes first.
+    the row's place. Rows are split into ranges that hold about as many rows
+    each: their bounds are approximate quantiles of the places, read first and
+    set in the plan as constants, so the range of a row is a function of its
+    place alone, however the plan is run, and however far apart places lie. Each
+    range is filled by itself and the last value of the ranges before is carried
+    in, so no task sees all rows. A null place comes first.
     """
     if within:
         w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return rows.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
-    least, most = rows.agg(F.min(order), F.max(order)).first()
     ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    step = ((most - least) / ranges if least is not None else 0) or 1
-    ranged = rows.withColumn("__range", F.coalesce(F.floor((F.col(order) - F.lit(least)) / F.lit(step)).cast("int"), F.lit(-1)))
+    least, bounds = rows.agg(F.min(order), F.percentile_approx(order, [(k + 1) / ranges for k in range(ranges - 1)] or [1.0], 100 * ranges)).first()
+    bounds = F.array(*[F.lit(b).cast("double") for b in sorted(set(bounds or []))]) if bounds else F.array().cast("array<double>")
+    place = F.col(order).cast("double")
+    ranged = rows.withColumn("__range", F.coalesce(F.when(place.isNotNull(), F.size(F.filter(bounds, lambda b: b < place))), F.lit(-1)))
     w = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = ranged.withColumns({f"__{c}": F.last(c, ignorenulls=True).over(w) for c in columns})
     last = ranged.groupBy("__range").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.coalesce(F.col(order), F.lit(least)))).alias(c) for c in columns])

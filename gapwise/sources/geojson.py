@@ -6,16 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import ship
+from .splits import json_objects
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str, kind: str = "LineString") -> DataFrame:
     """One row for each feature of a FeatureCollection: its place in the file, ``properties`` (DDL) and its points.
 
-    Points are arrays of struct(x, y); a Point has one.
+    Points are arrays of struct(x, y); a Point has one. A file is read by as many
+    tasks as it has blocks (``json_objects``); features of another geometry keep
+    their place and give no row.
     """
     depth = {"Point": "array<double>", "LineString": "array<array<double>>"}[kind]
-    schema = f"features array<struct<properties: struct<{properties}>, geometry: struct<type: string, coordinates: {depth}>>>"
-    x = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("features").alias("ord", "f")).where(F.col("f.geometry.type") == kind)
+    kinds = json_objects(spark, path).select("file", "row_index", F.from_json("text", "type string, geometry struct<type: string>").alias("k"), "text").where("k.type = 'Feature'")
+    first = kinds.groupBy("file").agg(F.min("row_index").alias("first"))  # other members may stand before the features
+    x = kinds.where(F.col("k.geometry.type") == kind).join(first, "file").select((F.col("row_index") - F.col("first")).cast("int").alias("ord"), F.from_json("text", f"properties struct<{properties}>, geometry struct<coordinates: {depth}>").alias("f"))
     xy = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
     points = F.transform("f.geometry.coordinates", xy) if kind == "LineString" else F.array(xy(F.col("f.geometry.coordinates")))
     return x.select("ord", "f.properties.*", points.alias("points"))

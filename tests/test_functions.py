@@ -13,6 +13,8 @@ def values(spark, data, ddl, *cols):
 COORDINATES = [
     (None, None, "missing"), ("", None, "missing"), ("  ", None, "missing"),
     ("7.908017", 7.908017, "clean"), ("1e1", 10.0, "clean"), (" 5 ", 5.0, "clean"),
+    ("7,908,", 7.908, "comma_decimal"), (",908", 0.908, "comma_decimal"), ("+7,9", 7.9, "comma_decimal"), (",", None, "unparseable"), (",,", None, "unparseable"),
+    ("7°30'.5\"N", 7.500139, "dms"), ("7°30'5\"n", None, "unparseable"), ("7 °30'5\"N", None, "unparseable"), ("7°30'5.\"W ", -7.501389, "dms"),
     ("7,908,017", 7.908017, "comma_decimal"), ("7,9", 7.9, "comma_decimal"),
     ("-7,9", None, "unparseable"), ("1,2.5", None, "unparseable"), ("190,5", None, "unparseable"),
     ("8°30'0\"N", 8.5, "dms"), ("8°30’0”S", -8.5, "dms"), ("8°30'", None, "unparseable"),

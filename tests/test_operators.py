@@ -43,6 +43,21 @@ def test_forward_fill_odd_places(spark):
     assert got([(None, "a"), (-3, None), (10**12, None), (7, "b")]) == sorted(["(None, 'a')", "(-3, 'a')", f"({10**12}, 'b')", "(7, 'b')"])
 
 
+def test_forward_fill_with_one_far_place(spark, tmp_path):
+    n = 100_000
+    rows = spark.range(n + 1).select(F.when(F.col("id") == n, 10**12).otherwise(F.col("id")).alias("row_index"), F.when(F.col("id") % 997 == 0, F.concat(F.lit("s"), "id")).alias("state"))
+    out = tables.forward_fill(rows, ["state"], "row_index")
+    good = F.col("state") == F.concat(F.lit("s"), F.floor(F.least("row_index", F.lit(n)) / 997) * 997)
+    assert tuple(out.agg(F.count("*"), F.count_if(good)).first()) == (n + 1, n + 1)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = tables.forward_fill(rows, ["state"], "row_index").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert "__range" in plan and sizes.max() < 0.8 * n  # four ranges, some of which may share a partition
+
+
 def test_pick_by_rule_keeps_null_keys(spark):
     rows = [(0, "a", "x", None), (1, "a", "y", "Gazette"), (2, "b", "t", None), (3, "b", "u", None), (4, None, "q", None), (5, None, "r", None)]
     df = spark.createDataFrame(rows, "i int, k string, sen string, remarks string")
