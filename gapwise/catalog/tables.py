@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import coordinates, names
+from ..functions import coordinates, names, rules
 from ..functions.nulls import optional
 from ..functions.rules import adequacy
 from ..operators import matching, tables
@@ -243,3 +243,11 @@ def table_scan(t: Tables) -> DataFrame:
 def temp_view(t: Tables) -> DataFrame:
     t("region").select("r_regionkey", F.upper("r_name").alias("r_name")).createOrReplaceTempView("gapwise_region")
     return t.spark.table("gapwise_region")
+
+
+@query("""WITH x AS (SELECT c_custkey, CAST(480000 + c_custkey * 37 AS VARCHAR) AS label FROM customer), s AS (SELECT *, list_sum([CAST(substring(label, length(label) - i, 1) AS INTEGER) * (i % 6 + 2) for i in range(0, length(label))]) AS total FROM x)
+SELECT c_custkey, label || '-' || CASE (11 - total % 11) % 11 WHEN 10 THEN 'X' ELSE CAST((11 - total % 11) % 11 AS VARCHAR) END AS label FROM s""")
+def specimen_labels(t: Tables) -> DataFrame:
+    """Labels with their check digit."""
+    label = (F.col("c_custkey") * 37 + 480_000).cast("string")
+    return t("customer").select("c_custkey", F.concat(label, F.lit("-"), rules.check_digit(label)).alias("label"))

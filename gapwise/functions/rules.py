@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: (count, minimum) columns of the staff cadres.
+#: Fixed values: (count, minimum) columns of the staff cadres, as the input names them.
 CADRES = [("med_officers", "min_medical_officers"), ("nurses_midwives", "min_nurses_midwives"), ("chews", "min_chews"), ("lab_scientists", "min_lab_scientists"), ("pharm_techs", "min_pharmacy_technicians")]
 
 
@@ -28,3 +28,15 @@ def gap_type(adequate: Column, any_facility: Column, threshold: float = 60.0) ->
 def dose(card_seen: Column, on_card: Column, by_caregiver: Column) -> Column:
     """The card's entry if the card was seen, blank or not; else the caregiver's word."""
     return F.when(card_seen == "Yes", on_card).otherwise(by_caregiver)
+
+
+def check_digit(digits: Column) -> Column:
+    """The check character of a text of digits: modulus 11, weights 2 to 7 from right to left and again, 10 is X.
+
+    The weighted sum with the check value added is a multiple of 11. A null or
+    anything but digits gives null.
+    """
+    each = F.reverse(F.filter(F.split(digits, ""), lambda c: c != ""))
+    total = F.aggregate(F.transform(each, lambda c, i: c.cast("int") * (i % 6 + 2)), F.lit(0), lambda a, b: a + b)
+    value = (11 - total % 11) % 11
+    return F.when(digits.rlike("^[0-9]+$"), F.when(value == 10, "X").otherwise(value.cast("string")))

@@ -83,3 +83,15 @@ def test_similarity():
         assert similarity.weighted_ratio(a, b) == similarity.weighted_ratio(b, a)
         assert 0 <= similarity.weighted_ratio(a, b) <= 100
     assert similarity.lcs("abcde", "xaxcxe") == 3
+
+
+def test_check_digit(spark):
+    def want(d):
+        if not d or not d.isdigit():
+            return None
+        v = -sum(int(c) * (k % 6 + 2) for k, c in enumerate(reversed(d))) % 11
+        return "X" if v == 10 else str(v)
+
+    data = [str(480_000 + k) for k in range(40)] + ["0", "12345678901234567890", "", "12a", None]
+    got = [r[0] for r in values(spark, [(d,) for d in data], "d string", rules.check_digit(F.col("d")))]
+    assert got == [want(d) for d in data] and "X" in got
