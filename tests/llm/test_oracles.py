@@ -7,7 +7,7 @@ from gapwise.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.execute(queries.oracle_sql()[name])
     names = [c[0] for c in want.description]
