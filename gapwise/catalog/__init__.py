@@ -5,4 +5,4 @@ from __future__ import annotations
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-from . import files, spatial, survey, tables  # noqa: E402, F401
+from . import cleaning, files, spatial, survey, tables  # noqa: E402, F401

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import point_if
 from ..shared import remove_later, shared_folder
-from ..sources import delimited, geojson, office
+from ..sources import bucketed, delimited, geojson, office, typed
 from .base import Tables, query, rounded
 
 
@@ -98,3 +98,38 @@ def ctas_table(t: Tables) -> DataFrame:
     for _ in range(2):
         t("nation").groupBy("n_regionkey").agg(F.count("*").alias("n")).write.mode("overwrite").option("path", folder(t)).saveAsTable(name)
     return t.spark.table(name)
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 3 = 1 END AS visited, CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 40 END AS beds, CASE WHEN c_custkey % 5 > 0 THEN c_custkey * 0.25::DOUBLE END AS balance,
+concat('00', c_custkey % 50) AS code, CASE WHEN c_custkey % 2 = 0 THEN '12' ELSE 'a,b' END AS note, concat('9', repeat('0', 15), 1000 + c_custkey % 1000) AS long_code, CAST(NULL AS DOUBLE) AS remarks FROM customer""")
+def csv_typed(t: Tables) -> DataFrame:
+    """All customers by a CSV whose types come from the data: truth values, whole and decimal numbers, text, with missing values."""
+    to, k = folder(t), F.col("c_custkey")
+    visited = F.when(k % 3 == 0, "NA").when(k % 3 == 1, "True").otherwise("false").alias("visited")
+    beds = F.when(k % 7 == 0, "n/a").otherwise((k % 40).cast("string")).alias("beds")
+    balance = F.when(k % 5 == 0, "NaN").otherwise((k * 0.25).cast("string")).alias("balance")
+    note = F.when(k % 2 == 0, "12").otherwise("a,b").alias("note")
+    code, wide = F.concat(F.lit("00"), k % 50).alias("code"), F.concat(F.lit("9" + "0" * 15), 1000 + k % 1000).alias("long_code")
+    delimited.write_csv(t("customer").select(k, visited, beds, balance, code, note, wide, F.lit("").alias("remarks")), to)
+    return typed.read_typed_csv(t.spark, to, text=("code",))
+
+
+@query("SELECT c_mktsegment AS segment, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_orderkey) AS last FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY 1")
+def csv_in_sql(t: Tables) -> DataFrame:
+    """SQL over two CSV files as relations, numbers as their texts say."""
+    orders, customers = folder(t), folder(t)
+    delimited.write_csv(t("orders").select("o_orderkey", "o_custkey", "o_totalprice"), orders)
+    delimited.write_csv(t("customer").select("c_custkey", "c_mktsegment"), customers)
+    typed.csv_relation(t.spark, "gapwise_csv_orders", orders)
+    typed.csv_relation(t.spark, "gapwise_csv_customers", customers)
+    return t.spark.sql("SELECT c_mktsegment AS segment, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_orderkey) AS last FROM gapwise_csv_orders JOIN gapwise_csv_customers ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY 1")
+
+
+@query("SELECT c_custkey, c_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2")
+def bucketed_join(t: Tables) -> DataFrame:
+    """Customers and their orders from two tables in buckets: neither join nor grouping moves rows."""
+    n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"gapwise_{uuid.uuid4().hex}"
+    c = bucketed.write_bucketed(t("customer").select("c_custkey", "c_name"), f"{name}_c", ["c_custkey"], n, folder(t))
+    o = bucketed.write_bucketed(t("orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice"), f"{name}_o", ["c_custkey"], n, folder(t))
+    return c.join(o.hint("merge"), "c_custkey").groupBy("c_custkey", "c_name").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))

@@ -13,6 +13,8 @@ DMS = "^\\s*(\\d+)°\\s*(\\d+)['’]\\s*(\\d+\\.?\\d*|\\.\\d+)[\"”]\\s*([NSEW]
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 #: Closed box that a usable point lies in.
 LON, LAT = (2.5, 15.0), (4.0, 14.0)
+#: What ``coord_status`` gives.
+STATUSES = ["included", "excluded_missing_or_unparseable", "excluded_out_of_bounds"]
 
 
 def dms_to_decimal(c: Column) -> Column:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Fixed values: (count, minimum) columns of the staff cadres, as the input names them.
 CADRES = [("med_officers", "min_medical_officers"), ("nurses_midwives", "min_nurses_midwives"), ("chews", "min_chews"), ("lab_scientists", "min_lab_scientists"), ("pharm_techs", "min_pharmacy_technicians")]
 
+#: The kinds of gaps that ``gap_type`` gives.
+GAP_TYPES = ["adequately_served", "facility_present_understaffed", "facility_absent"]
+
 
 def adequacy(known_type: Column, has_record: Column, cadres=CADRES) -> Column:
     """unknown_facility_type, no_personnel_record, inadequate, adequate; the first that holds.
