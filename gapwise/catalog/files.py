@@ -50,25 +50,25 @@ def mif_mid_source(t: Tables) -> DataFrame:
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS lga_code, n_name AS lga, r_name AS state FROM nation JOIN region ON r_regionkey = n_regionkey")
 def xlsx_source(t: Tables) -> DataFrame:
-    to = f"{folder(t)}/sheet.xlsx"
+    to = folder(t)
     x = t("nation").join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    office.write_xlsx(x.select(F.col("r_name").alias("a"), F.col("n_name").alias("b"), F.col("n_nationkey").alias("c")), to)
+    office.write_xlsx_parts(x.select(F.col("r_name").alias("a"), F.col("n_name").alias("b"), F.col("n_nationkey").alias("c")), to)
     return office.read_xlsx(t.spark, to, ["state", "lga", "lga_code"]).select("lga_code", "lga", "state")
 
 
 @query(f"SELECT n_nationkey, n_name, lon, lat FROM ({NATIONS})")
 def gpkg_source(t: Tables) -> DataFrame:
-    to = f"{folder(t)}/layers.gpkg"
-    office.write_gpkg(nations(t).select("n_nationkey", "n_name", F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")).alias("shape")), to, "wards", "shape")
+    to = folder(t)
+    office.write_gpkg_parts(nations(t).select("n_nationkey", "n_name", F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")).alias("shape")), to, "wards", "shape")
     got = office.read_gpkg(t.spark, to, "wards", "n_nationkey int, n_name string")
     return got.select("n_nationkey", "n_name", F.col("rings")[0][0]["x"].alias("lon"), F.col("rings")[0][0]["y"].alias("lat"))
 
 
 @query("SELECT lga_code, max(sen) AS sen FROM (SELECT n_name AS lga_code, CAST(n_regionkey AS VARCHAR) AS sen FROM nation) GROUP BY 1")
 def gpkg_lookup(t: Tables) -> DataFrame:
-    to = f"{folder(t)}/lgas.gpkg"
+    to = folder(t)
     shape = F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y")).alias("shape")
-    office.write_gpkg(t("nation").select(F.col("n_name").alias("lga_code"), F.col("n_regionkey").cast("string").alias("sen"), shape), to, "lgas", "shape")
+    office.write_gpkg_parts(t("nation").select(F.col("n_name").alias("lga_code"), F.col("n_regionkey").cast("string").alias("sen"), shape), to, "lgas", "shape")
     return office.attribute_lookup(office.read_gpkg(t.spark, to, "lgas", "lga_code string, sen string"), "lga_code", "sen")
 
 
@@ -133,3 +133,23 @@ def bucketed_join(t: Tables) -> DataFrame:
     c = bucketed.write_bucketed(t("customer").select("c_custkey", "c_name"), f"{name}_c", ["c_custkey"], n, folder(t))
     o = bucketed.write_bucketed(t("orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice"), f"{name}_o", ["c_custkey"], n, folder(t))
     return c.join(o.hint("merge"), "c_custkey").groupBy("c_custkey", "c_name").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 6 > 0 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 7 > 0 THEN c_acctbal END AS balance, CASE WHEN c_custkey % 11 > 0 THEN c_custkey % 360 * 0.5::DOUBLE END AS lon, CASE WHEN c_custkey % 11 > 0 THEN c_custkey % 170 * 0.25::DOUBLE END AS lat FROM customer")
+def gpkg_parts(t: Tables) -> DataFrame:
+    """All customers as GeoPackages of at most 40,000 features, read by ranges of 10,000; some without values or shapes."""
+    to, k = folder(t), F.col("c_custkey")
+    point = F.when(k % 11 > 0, F.struct((k % 360 * 0.5).alias("x"), (k % 170 * 0.25).alias("y"))).alias("shape")
+    x = t("customer").select(k, "c_name", F.when(k % 6 > 0, F.col("c_mktsegment")).alias("segment"), F.when(k % 7 > 0, F.col("c_acctbal")).alias("balance"), point)
+    office.write_gpkg_parts(x, to, "wards", "shape", most=40_000)
+    got = office.read_gpkg(t.spark, to, "wards", "c_custkey long, c_name string, segment string, balance double", features=10_000)
+    return got.select("c_custkey", "c_name", "segment", "balance", F.col("rings")[0][0]["x"].alias("lon"), F.col("rings")[0][0]["y"].alias("lat"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS priority, CASE WHEN o_orderkey % 5 > 0 THEN concat('<', o_orderstatus, '> & ', chr(34), 'x', chr(34)) END AS note FROM orders")
+def xlsx_parts(t: Tables) -> DataFrame:
+    """All orders as workbooks, texts with markup and missing cells among them, read one task a workbook."""
+    to = folder(t)
+    note = F.when(F.col("o_orderkey") % 5 > 0, F.concat(F.lit("<"), "o_orderstatus", F.lit('> & "x"'))).alias("note")
+    office.write_xlsx_parts(t("orders").select("o_orderkey", "o_orderpriority", note), to, most=50_000)
+    return office.read_xlsx(t.spark, to, ["id", "priority", "note"]).drop("row_index")
