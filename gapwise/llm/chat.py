@@ -86,8 +86,9 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
     A turn is ``### role: text </turn>`` and a line feed, with a backslash put
     before each ``\\``, ``#``, ``/`` and ``:`` of role and text, so that the
     marks cannot occur inside. Rows are put in order of turn, then role, then
-    text; a null role or text is empty; rows with a null id are a conversation
-    of their own; repeated rows stay. Only conv, turn, role and text are read.
+    text, null turns first; a null role or text is empty; rows with a null id
+    are a conversation of their own; repeated rows stay. Only conv, turn, role
+    and text are read. No rows give none.
 
     Returns the id, n_turns, formatted (binary), loss_starts and loss_ends: byte
     spans of the escaped texts of turns whose role is ``assistant``. The rows of

@@ -53,7 +53,8 @@ def section_counts(docs: DataFrame, path: str, rule: str = "start", section: re.
     points; a section inside a character starts after it), n_tokens, n_crossing
     (tokens counted here that reach into another section). The counts of a
     document add up to its tokens. A null or empty text has one section without
-    tokens. Rows are counted one by one; ids may be null or repeat.
+    tokens. Rows are counted one by one; ids may be null or repeat. No rows give
+    none. Other columns are ignored, whatever their names.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

@@ -267,7 +267,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, all its columns."""
+    """``docs`` with one row of each group of near duplicates, all its columns.
+
+    The row is the group's representative, see ``near_duplicates``. Of rows that
+    repeat its id and text but differ in other columns one stays, whichever
+    comes first in its task. Other columns pass through unread, but for one of
+    the name ``__row``, which would be lost. No rows give none.
+    """
     i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     stays = near_duplicates(docs, k, percent, id_col, text_col).where("representative").select(F.col("row").alias("__row")).distinct()
     return docs.withColumn("__row", F.xxhash64(i, t)).join(stays, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
