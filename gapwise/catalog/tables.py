@@ -89,7 +89,31 @@ def duplicate_resolution(t: Tables) -> DataFrame:
     return tables.pick_by_rule(x, "lga_code", hit, names.mentions(F.col("remarks"), "gazette"), F.col("row_idx")).select("row_idx", "lga_code", "sen", "is_duplicate")
 
 
-@query()
+#: CTEs over x (name) and k (choice), without empty ones: s has the score of each name that is no choice with each choice, best each name's
+#: best. A common subsequence is a fold over the letters of v, each as bits of its places in u; windows of v are slices of that list.
+FUZZY_INPUT_SQL = """x AS (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN s_name WHEN 1 THEN concat(s_name[1:3], s_name[5:]) WHEN 2 THEN lower(s_name) WHEN 3 THEN NULL ELSE concat('no such place ', reverse(s_name)) END AS name FROM supplier),
+k AS (SELECT DISTINCT s_name AS choice FROM supplier)"""
+SCORES_SQL = """p AS (SELECT name, choice, list_filter(string_split(name, ' '), lambda t: t <> '') AS a, list_filter(string_split(choice, ' '), lambda t: t <> '') AS b FROM (SELECT DISTINCT name FROM x WHERE name NOT IN (SELECT choice FROM k)), k),
+q AS (SELECT *, list_sort(list_distinct(list_intersect(a, b))) AS shared, list_sort(list_distinct(list_filter(a, lambda t: NOT list_contains(b, t)))) AS l, list_sort(list_distinct(list_filter(b, lambda t: NOT list_contains(a, t)))) AS r,
+greatest(len(name), len(choice)) / least(len(name), len(choice))::DOUBLE AS lengths, array_to_string(list_sort(a), ' ') AS sa, array_to_string(list_sort(b), ' ') AS sb FROM p),
+forms AS (SELECT name, choice, unnest(CASE WHEN lengths < 1.5 THEN [{'u': name, 'v': choice, 'f': 1.0::DOUBLE, 'part': false}, {'u': sa, 'v': sb, 'f': 0.95::DOUBLE, 'part': false},
+{'u': array_to_string(list_concat(shared, l), ' '), 'v': array_to_string(list_concat(shared, r), ' '), 'f': 0.95::DOUBLE, 'part': false},
+{'u': array_to_string(shared, ' '), 'v': array_to_string(list_concat(shared, l), ' '), 'f': CASE WHEN len(shared) > 0 THEN 0.95::DOUBLE ELSE 0.0::DOUBLE END, 'part': false},
+{'u': array_to_string(shared, ' '), 'v': array_to_string(list_concat(shared, r), ' '), 'f': CASE WHEN len(shared) > 0 THEN 0.95::DOUBLE ELSE 0.0::DOUBLE END, 'part': false}]
+ELSE [{'u': name, 'v': choice, 'f': 1.0::DOUBLE, 'part': false}, {'u': name, 'v': choice, 'f': scale, 'part': true}, {'u': sa, 'v': sb, 'f': 0.95 * scale, 'part': true},
+{'u': array_to_string(l, ' '), 'v': array_to_string(r, ' '), 'f': CASE WHEN len(shared) = 0 THEN 0.95 * scale ELSE 0.0::DOUBLE END, 'part': true},
+{'u': 'x', 'v': 'x', 'f': CASE WHEN len(shared) > 0 THEN 0.95 * scale ELSE 0.0::DOUBLE END, 'part': false}] END, recursive := true)
+FROM (SELECT *, CASE WHEN lengths <= 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS scale FROM q)),
+turned AS (SELECT name, choice, f, part, CASE WHEN len(u) <= len(v) THEN u ELSE v END AS u, CASE WHEN len(u) <= len(v) THEN v ELSE u END AS v FROM forms UNION ALL SELECT name, choice, f, part, v, u FROM forms WHERE part AND len(u) = len(v)),
+folded AS (SELECT *, (1::HUGEINT << len(u)) - 1 AS every, list_transform(string_split(v, ''), lambda c: list_sum(list_transform(range(len(u)), lambda i: CASE WHEN u[i + 1] = c THEN 1::HUGEINT << i ELSE 0::HUGEINT END))::HUGEINT) AS bits
+FROM turned WHERE u <> '' AND f > 0),
+w AS (SELECT name, choice, f, u, every, unnest(CASE WHEN part THEN list_transform(range(1 - len(u), len(v)), lambda i: bits[greatest(0, i) + 1 : i + len(u)]) ELSE [bits] END) AS bits FROM folded),
+s AS (SELECT name, choice, max(f * (200.0::DOUBLE * (len(u) - bit_count(list_reduce(list_prepend(every, bits), lambda s, m: ((s + (s & m)) | (s - (s & m))) & every))) / (len(u) + len(bits)))) AS score FROM w GROUP BY ALL),
+best AS (SELECT name, max(score) AS score, arg_min(choice, struct_pack(s := -score, c := choice)) AS choice FROM s GROUP BY name)"""
+
+
+@query(f"""WITH {FUZZY_INPUT_SQL}, {SCORES_SQL} SELECT s_suppkey, x.name, CASE WHEN x.name IS NULL THEN 'missing' WHEN best.name IS NULL THEN 'exact' WHEN score >= 85 THEN 'fuzzy' ELSE 'unmatched' END AS match_method,
+CASE WHEN x.name IS NULL THEN NULL WHEN best.name IS NULL THEN 100.0::DOUBLE ELSE round(score, 6) END AS match_score, CASE WHEN best.name IS NULL THEN x.name WHEN score >= 85 THEN choice END AS matched FROM x LEFT JOIN best ON best.name = x.name""")
 def fuzzy_match(t: Tables) -> DataFrame:
     """Supplier names with a letter dropped or changed, against the names themselves."""
     k = F.col("s_suppkey") % 5

@@ -85,6 +85,38 @@ def test_similarity():
     assert similarity.lcs("abcde", "xaxcxe") == 3
 
 
+@pytest.mark.parametrize("a, b, want", [
+    # published examples of the score, without and with lower case
+    ("new york jets", "New York Jets", 76.92307692307692), ("new york jets", "New York Giants", 64.28571428571428), ("cowboys", "Dallas Cowboys", 83.07692307692308),
+    ("new york jets", "new york jets", 100.0), ("new york jets", "new york giants", 78.57142857142857), ("cowboys", "dallas cowboys", 90.0),
+    ("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear", 95.0), ("fuzzy was a bear", "fuzzy fuzzy was a bear", 95.0),
+])
+def test_published_scores(a, b, want):
+    assert similarity.weighted_ratio(a, b) == pytest.approx(want)
+
+
+def test_scores_against_sql():
+    """Every pair of 70 names of up to six words with 40 choices, half of them edits: the oracle's SQL shares no code with the scorer."""
+    import random
+
+    import duckdb
+
+    from gapwise.catalog.tables import SCORES_SQL
+
+    rng = random.Random(5)
+    words = ["north", "south", "ward", "bank", "old", "é", "river", "a", "hill", "A"]
+    name = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 7)))
+    choices = sorted({name() for _ in range(40)})
+    edited = {"".join(c for c in rng.choice(choices) if rng.random() > 0.2).strip() for _ in range(40)}
+    names = sorted(({name() for _ in range(35)} | edited) - set(choices) - {""})
+    con = duckdb.connect()
+    con.execute("CREATE TABLE n AS SELECT unnest(?) AS name", [names])
+    con.execute("CREATE TABLE c AS SELECT unnest(?) AS choice", [choices])
+    got = {(a, b): s for a, b, s in con.execute(f"WITH x AS (FROM n), k AS (FROM c), {SCORES_SQL} SELECT name, choice, score FROM s").fetchall()}
+    assert len(got) == len(names) * len(choices)
+    assert [(p, s) for p, s in got.items() if similarity.weighted_ratio(*p) != pytest.approx(s)] == []
+
+
 def test_check_digit(spark):
     def want(d):
         if not d or not d.isdigit():
