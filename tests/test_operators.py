@@ -1,5 +1,6 @@
 """Operators on small frames with nulls, ties and larger-than-memory forms."""
 
+import math
 import random
 
 import pytest
@@ -118,10 +119,20 @@ def test_nearest_node_by_cells(spark, monkeypatch):
     points = [(k, round(rng.uniform(1, 11), 3), round(rng.uniform(3, 15), 3)) for k in range(200)] + [(200, -179.9, 5.0), (201, 100.0, -60.0), (202, None, 5.0), (203, 3.0, 5.0), (204, 0.0, 89.9)]
     n, p = spark.createDataFrame(nodes, "node_id long, lon double, lat double"), spark.createDataFrame(points, "i long, lon double, lat double")
     read = lambda: {r.i: (r.node_id, r.node_km and round(r.node_km, 9)) for r in network.nearest_node(p, "lon", "lat", n).collect()}
-    want = read()
-    assert want[203] == (301, 0.0) and want[200][0] == 300 and want[202] == (None, None)
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371.0 * math.asin(math.sqrt(math.sin((d - b) / 2) ** 2 + math.cos(b) * math.cos(d) * math.sin((c - a) / 2) ** 2))
+
+    want = {i: (None, None) if x is None else min((km(x, y, a, b), k) for k, a, b in nodes)[::-1] for i, x, y in points}
+    got = read()
+    assert got[203] == (301, 0.0) and got[200][0] == 300 and got[202] == (None, None)
+    assert {i: v[0] for i, v in got.items()} == {i: v[0] for i, v in want.items()}
+    assert all(v[1] == pytest.approx(want[i][1], abs=1e-6) for i, v in got.items() if v[1] is not None)
     monkeypatch.setattr(network, "BLOCK", 50)
-    assert read() == want
+    assert read() == got
+    none = network.nearest_node(p, "lon", "lat", n.limit(0))
+    assert none.columns == ["i", "lon", "lat", "node_id", "node_km"] and none.where("node_id is null and node_km is null").count() == len(points)
 
 
 def test_quantiles(spark, monkeypatch):
