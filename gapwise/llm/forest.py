@@ -132,8 +132,8 @@ def near_vectors(rows: DataFrame, bound: float = 0.93, trees: int = 8, leaf: int
     of their label, as far as the sample can tell. A leaf that is still wide is
     split on by further random directions, fitted on its own vectors, in the
     task that compares it; one of more than ``LEAF_BYTES`` is dealt to chunks, of
-    which each two meet in a task of their own. What shares a leaf is compared in double precision,
-    in blocks, and a pair counts in the first leaf that it shares only. A leaf
+    which each two meet in a task of their own and are split on there in the same
+    way. What shares a leaf is compared in double precision, in blocks, and a pair counts in the first leaf that it shares only. A leaf
     gives per class its number of links and one link towards its component,
     never the pairs.
 
@@ -205,17 +205,16 @@ def near_vectors(rows: DataFrame, bound: float = 0.93, trees: int = 8, leaf: int
             row, code = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
             before = Lists(row[code < leaf_now], code[code < leaf_now], n)
             sub, at, chunk = np.arange(n), np.zeros(n, np.int64), t.column("chunk").to_numpy()
-            if left != right:
-                _compare(np.flatnonzero(chunk == left), np.flatnonzero(chunk == right), 0, x, w, bound, before, None, links, top)
-                sub = at = sub[:0]
-            elif n > WIDE * leaf and not t.column("chunks")[0].as_py():
+            one, other = chunk == left, chunk == right
+            if n > WIDE * leaf:
                 some = np.random.default_rng(seed).permutation(n)[:sample]
                 sub, at = Tree(x[some], min(12, math.ceil(math.log2(n / leaf))), seed + leaf_now % (1 << 31), spill_of(bound, x.shape[1])).leaves(x, np.full(n, 64))
             parts = Lists(sub, at, n)
             order = np.lexsort((sub, at))
             for g in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
-                if len(g):
-                    _compare(sub[g], None, at[g[0]], x, w, bound, before, parts, links, top)
+                if len(g):  # two chunks meet here, each of them with itself in another task
+                    g, now = sub[g], at[g[0]]
+                    _compare(*((g, None) if left == right else (g[one[g]], g[other[g]])), now, x, w, bound, before, parts, links, top)
         top = np.array([_find(top, u) for u in range(n)], np.int64) if n else top
         some = links > 0
         return pa.table({"cls": cls[some], "links": links[some], "other": cls[top][some]})

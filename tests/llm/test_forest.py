@@ -100,6 +100,34 @@ def test_leaves_over_several_tasks(spark, monkeypatch):
     assert got == want
 
 
+def test_chunks_are_split_on(spark, monkeypatch):
+    """Two chunks that meet are split by a tree of their own: links near the bound are found, none twice, and few of all pairs are looked at."""
+    looked = spark.sparkContext.accumulator(0)
+    plain = forest._compare
+
+    def counted(g, h, *rest):
+        looked.add(len(g) * len(g if h is None else h))
+        plain(g, h, *rest)
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (6000, 64))
+    for k in range(0, 600, 2):
+        side = rng.normal(0, 1, 64)
+        side -= side @ x[k] / (x[k] @ x[k]) * x[k]
+        x[k + 1] = 0.96 * x[k] / np.linalg.norm(x[k]) + 0.28 * side / np.linalg.norm(side)
+    x[5900:] = x[5900] + rng.normal(0, 0.05, (100, 64))
+    want = pairs_near(x)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(forest, "TREE_BYTES", 4 * 8 * 64)  # the trees of all rows do not split
+    monkeypatch.setattr(forest, "LEAF_BYTES", 4000 * 8 * 64)  # three chunks of some 2,000
+    monkeypatch.setattr(forest, "_compare", counted)
+    got = {r.vec_id: r.n_links for r in forest.near_vectors(df, leaf=32).collect()}
+    assert all(got[k] <= want[k] for k in got)
+    assert sum(got[k] for k in range(600)) >= 0.9 * want[:600].sum()
+    assert sum(got[k] for k in range(5900, 6000)) >= 0.95 * want[5900:].sum()
+    assert 0 < looked.value < 0.3 * 6000**2
+
+
 def test_extreme_components(spark):
     rows = [(1, [1e200, 2e200], 1), (2, [1e-200, 2e-200], 1), (3, [1.0, -1.0], 1), (4, [5e-324, 1e-323], 1)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
