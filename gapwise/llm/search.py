@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,8 +18,11 @@ from pyspark.sql import functions as F
 from ..shared import remove_later, shared_folder
 from . import base
 
-#: Documents of a window (its scores fill 32 kB) and the postings after which it closes early.
-WINDOW, POSTINGS = 4096, 1 << 20
+#: Documents of a window (its scores fill 32 kB) and the postings after which it closes early (at 10 bytes each and their
+#: terms, a row of the index then has some 5 MB; a single longer document makes a longer one).
+WINDOW, POSTINGS = 4096, 1 << 18
+#: Rows of the index are large, so its files are checked row by row: row groups of some 4 MB (compressed) are all that a task holds.
+FILES = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 4, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 4}
 #: Bytes of the terms of one block of items, which is sent to every task.
 BLOCK = 16 << 20
 #: Bytes of a long text that are split at once.
@@ -51,18 +55,33 @@ def terms_of(text: bytes) -> Counter:
 INDEX = "n_docs long, n_tokens long, ids array<{kind}>, sizes array<long>, terms array<binary>, counts array<int>, slots binary, tfs binary"
 
 
-def _window(ids: pa.Array, found: list[Counter]) -> list:
-    """The row of the index for a window: documents by ascending id (null last), postings by term and then document."""
-    order = pc.sort_indices(ids, null_placement="at_end").to_numpy().tolist()
-    found = [found[k] for k in order]
-    tokens = [t for c in found for t in c]
-    coded = pa.array(tokens, pa.binary()).dictionary_encode()
-    code = coded.indices.to_numpy()
-    by_term = np.argsort(code, kind="stable")
-    slot = np.repeat(np.arange(len(found)), [len(c) for c in found])[by_term]
-    tf = np.fromiter((x for c in found for x in c.values()), np.int64, len(tokens))[by_term]
-    size = [sum(c.values()) for c in found]
-    return [sum(x > 0 for x in size), sum(size), ids.take(pa.array(order, pa.int64())), size, coded.dictionary, np.bincount(code, minlength=len(coded.dictionary)), slot.astype("<u2").tobytes(), tf.astype("<i8").tobytes()]
+class _Window:
+    """Documents that are gathered for a window, their postings as numbers (a term's code, its frequency) in arrays."""
+
+    def __init__(self):
+        self.ids: list[pa.Array] = []
+        self.codes: dict[bytes, int] = {}
+        self.code, self.tf, self.terms, self.size = array("i"), array("q"), array("q"), array("q")
+
+    def add(self, one: pa.Array, text: bytes) -> None:
+        found, codes = terms_of(text), self.codes
+        self.ids.append(one)
+        self.code.extend([codes.setdefault(t, len(codes)) for t in found])
+        self.tf.extend(found.values())
+        self.terms.append(len(found))
+        self.size.append(sum(found.values()))
+
+    def row(self) -> list:
+        """The row of the index: documents by ascending id (null last), postings by term and then document."""
+        ids = pa.concat_arrays(self.ids)
+        order = pc.sort_indices(ids, null_placement="at_end").to_numpy().astype(np.int64)
+        code, tf, terms, size = np.array(self.code, np.int64), np.array(self.tf, np.int64), np.array(self.terms, np.int64), np.array(self.size, np.int64)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        slot = np.repeat(place, terms)
+        by_term = np.lexsort((slot, code))
+        # codes are numbered as terms come, so the keys of the dictionary are in their order
+        return [int((size > 0).sum()), int(size.sum()), ids.take(pa.array(order)), size[order], pa.array(self.codes, pa.binary()), np.bincount(code, minlength=len(self.codes)), slot[by_term].astype("<u2").tobytes(), tf[by_term].astype("<i8").tobytes()]
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -79,27 +98,24 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def run(batches):
-        def row(ids, found):
-            x = _window(pa.concat_arrays(ids), found)
+        def row(window):
+            x = window.row()
             cells = [pa.array([x[0]], pa.int64()), pa.array([x[1]], pa.int64())]
             for v, t in ((x[2], None), (x[3], pa.int64()), (x[4], None), (x[5], pa.int32())):
                 v = v if t is None else pa.array(v, t)
                 cells.append(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v))
             return pa.RecordBatch.from_arrays([*cells, pa.array([x[6]], pa.binary()), pa.array([x[7]], pa.binary())], ["n_docs", "n_tokens", "ids", "sizes", "terms", "counts", "slots", "tfs"])
 
-        ids, found, postings = [], [], 0
+        held = _Window()
         for b in batches:
             for k in range(b.num_rows):
                 x = b.column(1)[k].as_buffer()
-                c = terms_of(b"" if x is None else x.to_pybytes())
-                ids.append(b.column(0).slice(k, 1))
-                found.append(c)
-                postings += len(c)
-                if len(found) == window or postings >= POSTINGS:
-                    yield row(ids, found)
-                    ids, found, postings = [], [], 0
-        if found:
-            yield row(ids, found)
+                held.add(b.column(0).slice(k, 1), b"" if x is None else x.to_pybytes())
+                if len(held.ids) == window or len(held.code) >= POSTINGS:
+                    yield row(held)
+                    held = _Window()
+        if held.ids:
+            yield row(held)
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("binary")).mapInArrow(run, INDEX.format(kind=kind))
 
@@ -157,7 +173,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id
     folder = f"{shared_folder(spark)}/search-{uuid.uuid4().hex}"
     remove_later(spark, folder)
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    build_index(docs, id_col, text_col, window).write.parquet(f"{folder}/index")
+    build_index(docs, id_col, text_col, window).write.options(**FILES).parquet(f"{folder}/index")
     index = spark.read.parquet(f"{folder}/index")
     n, length = index.agg(F.sum("n_docs"), F.sum("n_tokens")).first()
     items = items.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text}`").alias("text")).where("text is not null").distinct()

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gapwise.llm import search as S
 
@@ -77,3 +78,15 @@ def test_length_factor_is_exact_past_64_bits():
     size = np.array([1, 10**7, 3 * 10**7], np.int64)
     n, length = 10**11, 4 * 10**13 + 7
     assert S.length_factor(size, n, length).tolist() == [10 + 90 * s * n // length for s in size.tolist()]
+
+
+def test_rows_and_row_groups_of_the_index_are_small(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(399)), lambda k: F.concat(F.lit("w"), (F.col("doc_id") * 31 + k).cast("string"))), " ")
+    docs = spark.range(6000).select(F.col("id").alias("doc_id")).select("doc_id", text.alias("text")).coalesce(1)
+    S.build_index(docs).write.options(**S.FILES).parquet(f"{tmp_path}/index")
+    rows = spark.read.parquet(f"{tmp_path}/index").select(F.octet_length("slots").alias("a"), F.octet_length("tfs").alias("b"), "n_docs").collect()
+    assert sum(r.n_docs for r in rows) == 6000 and sum(r.a for r in rows) == 2 * 2_400_000 and max(r.a + r.b for r in rows) < 4 << 20
+    groups = [pq.ParquetFile(f).metadata.row_group(g).total_byte_size for f in (tmp_path / "index").glob("*.parquet") for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    assert len(groups) > 1 and max(groups) < 24 << 20
