@@ -12,59 +12,138 @@ from pyspark.sql import functions as F
 from ..functions.similarity import weighted_ratio
 from ..shared import ship
 
-BLOCK = 512
+#: Choices and names of one pair of blocks.
+BLOCK, NAMES = 512, 64
+#: Patterns up to so many letters are held in one machine word.
+WORD = 64
+
+
+class Texts:
+    """Texts of one length as patterns and as rows of letters, for the common subsequences of all of them with one text."""
+
+    def __init__(self, texts: list[str]):
+        self.size, self.count = len(texts[0]), len(texts)
+        letters = np.array([[ord(c) for c in t] for t in texts], np.int64).reshape(self.count, self.size)
+        self.known = np.unique(letters)
+        self.codes = np.searchsorted(self.known, letters)
+        self.none = np.zeros(self.count, np.uint64)
+        self.masks: dict[int, np.ndarray] = {}
+        if 0 < self.size <= WORD:
+            for c in self.known.tolist():
+                at = (letters == c).astype(np.uint64) << np.arange(self.size, dtype=np.uint64)
+                self.masks[c] = at.sum(1, dtype=np.uint64)
+
+    def _steps(self, x: str, turned: bool) -> tuple[list[np.ndarray], int]:
+        """For each letter of the text its places in the pattern, and the pattern's length; turned: ``x`` is the pattern."""
+        if not turned:
+            return [self.masks.get(ord(c), self.none) for c in x], self.size
+        own: dict[int, int] = {}
+        for i, c in enumerate(x):
+            own[ord(c)] = own.get(ord(c), 0) | 1 << i
+        at = np.array([own.get(c, 0) for c in self.known.tolist()], np.uint64)
+        return [at[self.codes[:, j]] for j in range(self.size)], len(x)
 
-
-def _letters(texts: list[str]) -> np.ndarray:
-    """Letter counts in 32 columns; letters that share a column only loosen the bounds."""
-    out = np.zeros((len(texts), 32), np.int16)
-    for k, t in enumerate(texts):
-        for c in t:
-            out[k, ord(c) & 31] += 1
-    return out
-
-
-class Bounds:
-    """Upper bounds of ``weighted_ratio`` with each of ``choices``, from lengths and letter counts."""
+    @staticmethod
+    def _common(s: np.ndarray, n: int) -> np.ndarray:
+        return n - np.bitwise_count(s & np.uint64((1 << n) - 1)).astype(np.int64)
+
+    def ratio(self, x: str) -> np.ndarray:
+        """``similarity.ratio`` of ``x`` with each text; the shorter one has at most ``WORD`` letters."""
+        if not x or not self.size:
+            return np.full(self.count, 0.0 if x or self.size else 100.0)
+        steps, n = self._steps(x, len(x) < self.size)
+        s = np.full(self.count, ~np.uint64(0))
+        for m in steps:
+            u = s & m
+            s = (s + u) | (s - u)
+        return 200.0 * self._common(s, n) / (self.size + len(x))
+
+    def partial(self, x: str) -> np.ndarray:
+        """``similarity.partial_ratio`` of ``x`` with each text, as ``ratio``."""
+        if not x or not self.size:
+            return np.full(self.count, 0.0 if x or self.size else 100.0)
+        if len(x) == self.size:
+            return np.maximum(self._windows(x, False), self._windows(x, True))
+        return self._windows(x, len(x) < self.size)
+
+    def _windows(self, x: str, turned: bool) -> np.ndarray:
+        """The best ratio of the pattern with a window of the text; a row of ``s`` for each window that is open."""
+        steps, n = self._steps(x, turned)
+        best = np.zeros(self.count)
+        s = np.empty((n, self.count), np.uint64)
+        for j, m in enumerate(steps):
+            s[j % n] = ~np.uint64(0)
+            own = s[: j + 1]
+            u = own & m
+            s[: j + 1] = (own + u) | (own - u)
+            # the window that ends here: cut off at the text's start, or whole
+            size = min(j + 1, n)
+            np.maximum(best, 200.0 * self._common(s[(j + 1) % n] if size == n else s[0], n) / (n + size), out=best)
+        for i in range(max(1, len(steps) - n + 1), len(steps)):  # cut off at its end
+            np.maximum(best, 200.0 * self._common(s[i % n], n) / (n + len(steps) - i), out=best)
+        return best
+
+
+def _forms(text: str) -> tuple[str, str, str]:
+    """As it is, with sorted tokens, with sorted distinct tokens."""
+    t = text.split()
+    return text, " ".join(sorted(t)), " ".join(sorted(set(t)))
+
+
+class Choices:
+    """``weighted_ratio`` of one name with many choices at once."""
 
     def __init__(self, choices: list[str]):
-        self.choices, self.tokens = choices, [frozenset(c.split()) for c in choices]
-        self.forms = [(_letters(x), np.array([len(t) for t in x])) for x in self._forms(choices)]
-
-    @staticmethod
-    def _forms(texts: list[str]) -> tuple[list[str], ...]:
-        """As they are, with sorted tokens, with sorted distinct tokens."""
-        return texts, [" ".join(sorted(t.split())) for t in texts], [" ".join(sorted(set(t.split()))) for t in texts]
-
-    def of(self, x: str) -> np.ndarray:
-        whole, part = [], []
-        for (letters, size), (own,) in zip(self.forms, self._forms([x])):
-            common = np.minimum(letters, _letters([own])).sum(1, dtype=np.int64)
-            short = np.minimum(size, len(own))
-            # a common subsequence is in both multisets; a window of the longer side may be as short as it
-            whole.append(200.0 * common / np.maximum(1, size + len(own)))
-            part.append(200.0 * common / np.maximum(1, short + common))
-        mine = frozenset(x.split())
-        shared = np.array([not mine.isdisjoint(t) for t in self.tokens])
-        size = self.forms[0][1]
-        lengths = np.maximum(size, len(x)) / np.maximum(1, np.minimum(size, len(x)))
-        scale = np.where(lengths <= 8, 0.9, 0.6)
-        near = np.maximum(whole[0], 0.95 * np.where(shared, 100.0, np.maximum(whole[1], whole[2])))
-        far = np.maximum(whole[0], scale * np.maximum(part[0], 0.95 * np.where(shared, 100.0, np.maximum(part[1], part[2]))))
-        return np.where(lengths < 1.5, near, far) + 1e-9
+        self.choices, self.groups = choices, []
+        alike: dict[tuple, list] = {}
+        for k, c in enumerate(choices):
+            forms = _forms(c)
+            alike.setdefault((*map(len, forms), forms[1] == c, forms[1] == forms[2]), []).append((k, forms))
+        for (_, _, _, same1, same2), own in alike.items():
+            whole = Texts([f[0] for _, f in own])
+            ordered = whole if same1 else Texts([f[1] for _, f in own])
+            self.groups.append((np.array([k for k, _ in own]), whole, ordered, ordered if same2 else Texts([f[2] for _, f in own])))
+        self.having: dict[str, list[int]] = {}
+        for k, c in enumerate(choices):
+            for t in set(c.split()):
+                self.having.setdefault(t, []).append(k)
 
     def best(self, x: str) -> tuple[float, str | None]:
-        """The best score and its choice, the first by text of equals; scores only what could still win."""
+        """The best score and its choice, the first by text of equals."""
         if not x or not self.choices:
             return 0.0, min(self.choices, default=None)
-        bounds, score, found = self.of(x), -1.0, None
-        for k in np.argsort(-bounds, kind="stable"):
-            if bounds[k] < score:
-                break
-            s = weighted_ratio(x, self.choices[k])
-            if s > score or (s == score and self.choices[k] < found):
-                score, found = s, self.choices[k]
-        return score, found
+        forms = _forms(x)
+        shared = np.zeros(len(self.choices), bool)
+        for t in set(x.split()):
+            shared[self.having.get(t, [])] = True
+        scores, single = np.zeros(len(self.choices)), []
+        for at, *texts in self.groups:
+            size = texts[0].size
+            if not size:
+                continue
+            if any(min(len(f), t.size) > WORD for f, t in zip(forms, texts)):
+                single += at.tolist()
+                continue
+            each = lambda kind: self._each(kind, forms, texts)
+            score, lengths = texts[0].ratio(x), max(size, len(x)) / min(size, len(x))
+            if lengths < 1.5:
+                score = np.maximum(score, 0.95 * np.maximum(*each(Texts.ratio)))
+                single += at[shared[at]].tolist()
+            else:
+                scale = 0.9 if lengths <= 8 else 0.6
+                tokens = np.where(shared[at], 100.0, 0.0) if shared[at].all() else np.where(shared[at], 100.0, np.maximum(*each(Texts.partial)))
+                score = np.maximum(np.maximum(score, scale * texts[0].partial(x)), 0.95 * scale * tokens)
+            scores[at] = score
+        for k in single:  # tokens in common and about as long, or too long for a machine word
+            scores[k] = weighted_ratio(x, self.choices[k])
+        top = scores.max()
+        return float(top), min(self.choices[k] for k in np.flatnonzero(scores == top))
+
+    @staticmethod
+    def _each(kind, forms: tuple, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of sorted tokens and of sorted distinct ones."""
+        first = kind(texts[1], forms[1])
+        return first, first if forms[1] == forms[2] and texts[1] is texts[2] else kind(texts[2], forms[2])
 
 
 def fuzzy_best_match(rows: DataFrame, name: str, choices: DataFrame, choice: str, threshold: float = 85.0) -> DataFrame:
@@ -75,32 +154,31 @@ def fuzzy_best_match(rows: DataFrame, name: str, choices: DataFrame, choice: str
     is kept. Of equal scores the first choice by its text wins.
 
     Exact matches are an equi-join. Only the distinct names that are left are
-    looked up, in blocks of ``BLOCK`` choices, and of a block only the choices
-    whose letters could give the best score are scored: neither side is
+    looked up: blocks of ``NAMES`` names meet blocks of ``BLOCK`` choices, and a
+    name is scored with all choices of a block at once. Neither side is
     collected, and a name returns one row for a block.
     """
     ship(rows.sparkSession)
     known = choices.where(F.col(choice).isNotNull()).select(F.col(choice).alias("__choice")).distinct()
     out = rows.join(known, F.col(name) == F.col("__choice"), "left")
     rest = out.where(F.col("__choice").isNull() & F.col(name).isNotNull()).select(F.col(name).alias("__name")).distinct()
-    n = known.agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    blocks = known.crossJoin(F.broadcast(n)).groupBy(F.pmod(F.xxhash64("__choice"), F.greatest("n", F.lit(1))).alias("b")).agg(F.sort_array(F.collect_list("__choice")).alias("__block"))
+
+    def blocks(x: DataFrame, c: str, size: int, to: str) -> DataFrame:
+        n = x.agg(F.ceil(F.count("*") / size).cast("int").alias("n"))
+        return x.crossJoin(F.broadcast(n)).groupBy(F.pmod(F.xxhash64(c), F.greatest("n", F.lit(1))).alias(f"b{to}")).agg(F.sort_array(F.collect_list(c)).alias(to))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, Bounds] = {}
+        key, held = None, None
         for b in batches:
-            found = []
-            for x, block in zip(b["__name"], b["__block"]):
-                key = tuple(block)
-                if key not in held:
-                    held.clear()
-                    held[key] = Bounds(list(key))
-                found.append((x, *held[key].best(x)))
-            yield pd.DataFrame(found, columns=["__name", "__score", "__best"])
-
-    # a pair of name and block is much work, so few pairs are not put into one task; sorted, so that a block is read once
-    pairs = rest.crossJoin(blocks).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).sortWithinPartitions("b")
-    scored = pairs.select("__name", "__block").mapInPandas(best, "__name string, __score double, __best string")
+            for names, block, k in zip(b["__names"], b["__block"], b["b__block"]):
+                if k != key:
+                    key, held = k, Choices(list(block))
+                yield pd.DataFrame([(x, *held.best(x)) for x in names], columns=["__name", "__score", "__best"])
+
+    # a pair of blocks is much work, so few pairs are not put into one task; sorted, so that a block is read once
+    pairs = blocks(rest, "__name", NAMES, "__names").crossJoin(blocks(known, "__choice", BLOCK, "__block"))
+    pairs = pairs.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).sortWithinPartitions("b__block")
+    scored = pairs.select("__names", "__block", "b__block").mapInPandas(best, "__name string, __score double, __best string")
     # most score, then least text
     top = scored.groupBy("__name").agg(F.min(F.struct((-F.col("__score")).alias("s"), F.col("__best").alias("c"))).alias("t"))
     out = out.join(top, F.col(name) == F.col("__name"), "left")

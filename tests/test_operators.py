@@ -262,3 +262,22 @@ def test_shared_folder_is_the_one_that_spark_has(spark):
     at = shared_folder(spark)
     assert at == spark.sparkContext.getCheckpointDir() == shared_folder(spark)
     assert cut(spark.range(3)).count() == 3
+
+
+def test_names_are_scored_with_a_block_of_choices_at_once(monkeypatch):
+    from gapwise.functions.similarity import weighted_ratio
+
+    rng = random.Random(5)
+    words = ["north", "south", "ward", "é", "hill top", "x" * 30, "y" * 70]
+    name = lambda: rng.choice([" ", "  "]).join(rng.choice(words) for _ in range(rng.randrange(6)))
+    edit = lambda x: "".join(c for c in x if rng.random() > 0.15)
+    choices = sorted({name() for _ in range(60)} | {"", " ", "b"})
+    held = matching.Choices(choices)
+    for x in {edit(name()) for _ in range(80)} - {""} | {" ", "z" * 65}:
+        score, best = min((-weighted_ratio(x, c), c) for c in choices)
+        assert held.best(x) == (-score, best), x
+    monkeypatch.setattr(matching, "weighted_ratio", None)  # no pair of these is scored by itself
+    numbered = [f"Supplier#{k:09d}" for k in range(300)]
+    for x in ["no such place 771000000#reilppuS", "supplier#000000005", "Suplier#000000123"]:
+        score, best = min((-weighted_ratio(x, c), c) for c in numbered)
+        assert matching.Choices(numbered).best(x) == (-score, best)
