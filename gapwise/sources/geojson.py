@@ -19,7 +19,7 @@ def read_geojson(spark: SparkSession, path: str, properties: str, kind: str = "L
     depth = {"Point": "array<double>", "LineString": "array<array<double>>"}[kind]
     kinds = json_objects(spark, path).select("file", "row_index", F.from_json("text", "type string, geometry struct<type: string>").alias("k"), "text").where("k.type = 'Feature'")
     first = kinds.groupBy("file").agg(F.min("row_index").alias("first"))  # other members may stand before the features
-    x = kinds.where(F.col("k.geometry.type") == kind).join(first, "file").select((F.col("row_index") - F.col("first")).cast("int").alias("ord"), F.from_json("text", f"properties struct<{properties}>, geometry struct<coordinates: {depth}>").alias("f"))
+    x = kinds.where(F.col("k.geometry.type") == kind).join(F.broadcast(first), "file").select((F.col("row_index") - F.col("first")).cast("int").alias("ord"), F.from_json("text", f"properties struct<{properties}>, geometry struct<coordinates: {depth}>").alias("f"))
     xy = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
     points = F.transform("f.geometry.coordinates", xy) if kind == "LineString" else F.array(xy(F.col("f.geometry.coordinates")))
     return x.select("ord", "f.properties.*", points.alias("points"))

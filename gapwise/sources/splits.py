@@ -11,13 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = ["file", "block"]
+#: Pieces of a block of a file are taken in runs of 2^RUN, so that no task gets a whole block of a file.
+RUN = 14
 
 
 def pieces(spark: SparkSession, path: str, sep: str = "\n", encoding: str = "UTF-8") -> DataFrame:
-    """(file, block, at, text): the file's text between separators; ``at`` rises within a block."""
+    """(file, block, at, text): the file's text between separators; ``block`` (where Spark's block starts, run in it) rises within a file, ``at`` within a block."""
     rows = spark.read.option("lineSep", sep).text(path)
     text = F.col("value") if encoding.upper() in ("UTF-8", "UTF8") else F.decode(F.col("value").cast("binary"), encoding)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), text.alias("text"))
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), text.alias("text"))
+    return rows.select("file", F.struct("start", F.shiftright("at", RUN).alias("run")).alias("block"), "at", "text")
 
 
 def _inside(to: int) -> Window:
@@ -89,7 +92,7 @@ def json_objects(spark: SparkSession, path: str, depth: int = 1) -> DataFrame:
     x = x.join(n, BLOCK).withColumn("row_index", F.col("first") + F.coalesce(F.count_if("ends").over(_inside(-1)), F.lit(0)))
     # what follows the last object ends none
     last = x.groupBy("file").agg(F.count_if("ends").alias("all"))
-    whole = _joined(x.join(last, "file").where("row_index < all").select("file", "block", "at", "row_index", "text"), "}")
+    whole = _joined(x.join(F.broadcast(last), "file").where("row_index < all").select("file", "block", "at", "row_index", "text"), "}")
     skip = r'^(?:[^{"]|"(?:[^"\\]|\\.)*")*+'
     text = F.regexp_replace(F.concat("text", F.lit("}")), skip, "")
     for _ in range(depth):  # the first object has the braces of those around it before its own

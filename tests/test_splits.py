@@ -85,3 +85,11 @@ def test_ordered_export_to_one_file(spark, tmp_path):
         got = list(csv.reader(f))
     assert got[0] == ["k", "t"] and [int(x[0]) for x in got[1:1001]] == list(range(999, -1, -1)) and got[1001] == ["", "last"]
     assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["out.csv"]
+
+
+def test_no_block_is_one_group(spark, tmp_path):
+    """One block of a file is many groups, which rise in the order of the file."""
+    (tmp_path / "a.txt").write_text("".join(f"{k}\n" for k in range(50_000)))
+    x = splits.pieces(spark, str(tmp_path / "a.txt"))
+    assert max(r["count"] for r in x.groupBy(*splits.BLOCK).count().collect()) <= 1 << 14
+    assert splits.numbered(x).where("row_index <> cast(text as long)").isEmpty()
