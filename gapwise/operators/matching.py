@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -10,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import weighted_ratio
-from ..shared import ship
+from ..shared import cut, ship
+from .letters import Letters
 
-#: Choices and names of one pair of blocks.
-BLOCK, NAMES = 512, 64
+#: Choices of a block and their letters; names of a block, and those that are looked up together.
+BLOCK, LETTERS, NAMES, AT_ONCE = 1 << 18, 1 << 23, 1 << 14, 512
 #: Patterns up to so many letters are held in one machine word.
 WORD = 64
 
@@ -87,57 +90,173 @@ class Texts:
 def _forms(text: str) -> tuple[str, str, str]:
     """As it is, with sorted tokens, with sorted distinct tokens."""
     t = text.split()
-    return text, " ".join(sorted(t)), " ".join(sorted(set(t)))
+    ordered, once = " ".join(sorted(t)), " ".join(sorted(set(t)))
+    ordered = text if ordered == text else ordered
+    return text, ordered, ordered if once == ordered else once
+
+
+class Group:
+    """Choices whose forms have the same lengths, by rank."""
+
+    def __init__(self, ranks: list[int], forms: list[tuple], sizes: tuple, same1: bool, same2: bool):
+        self.ranks, self.forms, self.sizes, self.same1, self.same2 = np.array(ranks), forms, sizes, same1, same2
+
+    @cached_property
+    def texts(self) -> list[Texts]:
+        whole = Texts([f[0] for f in self.forms])
+        ordered = whole if self.same1 else Texts([f[1] for f in self.forms])
+        return [whole, ordered, ordered if self.same2 else Texts([f[2] for f in self.forms])]
+
+    @cached_property
+    def whole(self) -> Letters:
+        return Letters([f[0] for f in self.forms], self.ranks, True)
+
+    @cached_property
+    def ordered(self) -> Letters:
+        """Of sorted tokens, which are not in the order of the choices."""
+        if self.same1:
+            return self.whole
+        least: dict[str, int] = {}
+        for f, k in zip(self.forms, self.ranks.tolist()):
+            least.setdefault(f[1], k)
+        return Letters(sorted(least), np.array([least[t] for t in sorted(least)]), False)
+
+    def scale(self, n: int) -> tuple[bool, float]:
+        """Whether a name of ``n`` letters is compared by windows, and their factor."""
+        lengths = max(n, self.sizes[0]) / min(n, self.sizes[0])
+        return lengths >= 1.5, (0.9 if lengths <= 8 else 0.6) if lengths >= 1.5 else 1.0
+
+    def bound(self, n: int) -> float:
+        """No choice scores more with a name of ``n`` letters."""
+        if not self.sizes[0]:
+            return 0.0
+        far, scale = self.scale(n)
+        return max(200.0 * min(n, self.sizes[0]) / (n + self.sizes[0]), 100.0 * scale if far else 95.0)
+
+    def paired(self, forms: tuple) -> bool:
+        """Whether texts are too long for a machine word."""
+        return any(min(len(f), n) > WORD for f, n in zip(forms, self.sizes))
+
+    def listed(self, forms: tuple, far: bool) -> bool:
+        """Whether all choices are scored: forms that a search does not tell apart, and windows of choices."""
+        f1, f2 = forms[1:]
+        return not all(map(len, forms)) or not all(self.sizes) or max(map(len, forms)) > WORD or max(self.sizes) > WORD or f1 != f2 or not self.same2 or far and any(len(f) <= n for f, n in zip(forms, self.sizes))
 
 
 class Choices:
-    """``weighted_ratio`` of one name with many choices at once."""
+    """``weighted_ratio`` of names with many choices at once."""
+
+    #: Scores that are asked for, one after the other: a search for less than the best score of a name is not begun.
+    FROM = (95.0, 85.0, 70.0, 55.0, 40.0, 20.0, 0.0)
 
     def __init__(self, choices: list[str]):
-        self.choices, self.groups = choices, []
-        alike: dict[tuple, list] = {}
-        for k, c in enumerate(choices):
-            forms = _forms(c)
-            alike.setdefault((*map(len, forms), forms[1] == c, forms[1] == forms[2]), []).append((k, forms))
-        for (_, _, _, same1, same2), own in alike.items():
-            whole = Texts([f[0] for _, f in own])
-            ordered = whole if same1 else Texts([f[1] for _, f in own])
-            self.groups.append((np.array([k for k, _ in own]), whole, ordered, ordered if same2 else Texts([f[2] for _, f in own])))
+        self.choices = sorted(choices)
+        alike: dict[tuple, tuple] = {}
         self.having: dict[str, list[int]] = {}
-        for k, c in enumerate(choices):
+        self.group_of = np.zeros(len(choices), np.int64)
+        for k, c in enumerate(self.choices):
+            forms = _forms(c)
+            key = (tuple(map(len, forms)), forms[1] == c, forms[1] == forms[2])
+            own = alike.setdefault(key, (len(alike), [], []))
+            self.group_of[k] = own[0]
+            own[1].append(k)
+            own[2].append(forms)
             for t in set(c.split()):
                 self.having.setdefault(t, []).append(k)
+        self.groups = [Group(ranks, forms, *key) for key, (_, ranks, forms) in alike.items()]
 
     def best(self, x: str) -> tuple[float, str | None]:
         """The best score and its choice, the first by text of equals."""
-        if not x or not self.choices:
-            return 0.0, min(self.choices, default=None)
-        forms = _forms(x)
-        shared = np.zeros(len(self.choices), bool)
-        for t in set(x.split()):
-            shared[self.having.get(t, [])] = True
-        scores, single = np.zeros(len(self.choices)), []
-        for at, *texts in self.groups:
-            size = texts[0].size
-            if not size:
-                continue
-            if any(min(len(f), t.size) > WORD for f, t in zip(forms, texts)):
-                single += at.tolist()
-                continue
-            each = lambda kind: self._each(kind, forms, texts)
-            score, lengths = texts[0].ratio(x), max(size, len(x)) / min(size, len(x))
-            if lengths < 1.5:
-                score = np.maximum(score, 0.95 * np.maximum(*each(Texts.ratio)))
-                single += at[shared[at]].tolist()
+        return self.best_of([x])[0]
+
+    def best_of(self, names: list[str]) -> list[tuple[float, str | None]]:
+        """``best`` of each name.
+
+        Scores of common subsequences of forms are looked for from high to low:
+        a name is done when its best score is as high as what was asked for,
+        since then no choice with that score or more is left out.
+        """
+        best = [(-1.0, 0)] * len(names)
+
+        def meet(i: int, score: float, rank: int) -> None:
+            if score > best[i][0] or score == best[i][0] and rank < best[i][1]:
+                best[i] = score, rank
+
+        forms = [_forms(x) for x in names]
+        shared = [sorted({k for t in set(x.split()) for k in self.having.get(t, ())}) for x in names]
+        left, begun, done = [i for i, x in enumerate(names) if x and self.choices], set(), set()
+        for least in self.FROM:
+            for g, group in enumerate(self.groups):
+                asked: dict[bool, dict[str, list]] = {False: {}, True: {}}
+                for i in left:
+                    wanted = max(least, best[i][0])
+                    if (i, g) in done or group.bound(len(names[i])) < wanted:
+                        continue
+                    if (i, g) not in begun:
+                        begun.add((i, g))
+                        if self._met(i, g, group, names[i], forms[i], shared[i], meet):
+                            done.add((i, g))
+                            continue
+                    self._ask(i, group, forms[i], wanted, asked)
+                for ordered, jobs in asked.items():
+                    if jobs:
+                        found, ranks = (group.ordered if ordered else group.whole).search(list(jobs), np.array([min(j[2] for j in own) for own in jobs.values()]))
+                        for (p, own), size, rank in zip(jobs.items(), found.tolist(), ranks.tolist()):
+                            if size >= 0:
+                                for i, f, _ in own:
+                                    meet(i, f * (200.0 * size / (group.sizes[ordered] + len(p))), rank)
+            left = [i for i in left if best[i][0] < least]
+        return [(b[0], self.choices[b[1]]) if x and self.choices else (0.0, min(self.choices, default=None)) for x, b in zip(names, best)]
+
+    def _met(self, i: int, g: int, group: Group, x: str, forms: tuple, shared: list[int], meet) -> bool:
+        """Scores choices of a group that no search scores; whether that were all of them."""
+        if not group.sizes[0]:
+            meet(i, 0.0, int(group.ranks[0]))
+            return True
+        if group.paired(forms):
+            for k in group.ranks.tolist():  # too long for a machine word
+                meet(i, weighted_ratio(x, self.choices[k]), k)
+            return True
+        far, scale = group.scale(len(x))
+        own = [k for k in shared if self.group_of[k] == g]
+        if not group.listed(forms, far):
+            if far and own:
+                meet(i, 0.95 * scale * 100.0, own[0])
             else:
-                scale = 0.9 if lengths <= 8 else 0.6
-                tokens = np.where(shared[at], 100.0, 0.0) if shared[at].all() else np.where(shared[at], 100.0, np.maximum(*each(Texts.partial)))
-                score = np.maximum(np.maximum(score, scale * texts[0].partial(x)), 0.95 * scale * tokens)
-            scores[at] = score
-        for k in single:  # tokens in common and about as long, or too long for a machine word
-            scores[k] = weighted_ratio(x, self.choices[k])
-        top = scores.max()
-        return float(top), min(self.choices[k] for k in np.flatnonzero(scores == top))
+                for k in own:  # tokens in common and about as long
+                    meet(i, weighted_ratio(x, self.choices[k]), k)
+            return False
+        texts, at = group.texts, np.isin(group.ranks, own)
+        score = texts[0].ratio(x)
+        if far:
+            tokens = np.where(at, 100.0, 0.0) if at.all() else np.where(at, 100.0, np.maximum(*self._each(Texts.partial, forms, texts)))
+            score = np.maximum(np.maximum(score, scale * texts[0].partial(x)), 0.95 * scale * tokens)
+        else:
+            score = np.maximum(score, 0.95 * np.maximum(*self._each(Texts.ratio, forms, texts)))
+            for j in np.flatnonzero(at):
+                score[j] = weighted_ratio(x, self.choices[group.ranks[j]])
+        meet(i, float(score.max()), int(group.ranks[score.argmax()]))
+        return True
+
+    @staticmethod
+    def _ask(i: int, group: Group, forms: tuple, least: float, asked: dict) -> None:
+        """Adds what is to be searched for a name: pattern to (name, factor, least length), by whether choices are sorted by token."""
+        far, scale = group.scale(len(forms[0]))
+
+        def ask(ordered: bool, p: str, f: float) -> None:
+            need = max(0, math.ceil(least * (group.sizes[ordered] + len(p)) / (200.0 * f) - 1e-9))
+            if need <= min(len(p), group.sizes[ordered]):
+                asked[ordered].setdefault(p, []).append((i, f, need))
+
+        ask(False, forms[0], 1.0)
+        for ordered, p, f in ((False, forms[0], scale), (not group.same1, forms[1], 0.95 * scale)):
+            if far:
+                n = group.sizes[ordered]
+                least_size = n * least / max(200.0 * f - least, 1e-9) - 1e-6  # a shorter window cannot do
+                for w in {p[max(0, k) : k + n] for k in range(1 - n, len(p)) if min(k + n, len(p)) - max(0, k) >= least_size}:
+                    ask(ordered, w, f)
+            elif f < 1.0:
+                ask(ordered, p, f)
 
     @staticmethod
     def _each(kind, forms: tuple, texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -154,18 +273,28 @@ def fuzzy_best_match(rows: DataFrame, name: str, choices: DataFrame, choice: str
     is kept. Of equal scores the first choice by its text wins.
 
     Exact matches are an equi-join. Only the distinct names that are left are
-    looked up: blocks of ``NAMES`` names meet blocks of ``BLOCK`` choices, and a
-    name is scored with all choices of a block at once. Neither side is
-    collected, and a name returns one row for a block.
+    looked up: blocks of names meet blocks of choices, ``BLOCK`` of them or
+    ``LETTERS`` letters that follow each other by text, and a name is searched
+    for in all choices of a block at once. Neither side is collected, and a name
+    returns one row for a block.
     """
-    ship(rows.sparkSession)
+    spark = rows.sparkSession
+    ship(spark)
     known = choices.where(F.col(choice).isNotNull()).select(F.col(choice).alias("__choice")).distinct()
     out = rows.join(known, F.col(name) == F.col("__choice"), "left")
-    rest = out.where(F.col("__choice").isNull() & F.col(name).isNotNull()).select(F.col(name).alias("__name")).distinct()
-
-    def blocks(x: DataFrame, c: str, size: int, to: str) -> DataFrame:
-        n = x.agg(F.ceil(F.count("*") / size).cast("int").alias("n"))
-        return x.crossJoin(F.broadcast(n)).groupBy(F.pmod(F.xxhash64(c), F.greatest("n", F.lit(1))).alias(f"b{to}")).agg(F.sort_array(F.collect_list(c)).alias(to))
+    rest = cut(out.where(F.col("__choice").isNull() & F.col(name).isNotNull()).select(F.col(name).alias("__name")).distinct())
+    known = cut(known)
+    n, letters = known.agg(F.count("*"), F.coalesce(F.sum(F.length("__choice")), F.lit(0))).first()
+    parts, tasks = max(1, -(-n // BLOCK), -(-letters // LETTERS)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts > 1:
+        known = cut(known.repartitionByRange(parts, "__choice").withColumn("b__block", F.spark_partition_id()))
+    else:
+        known = known.withColumn("b__block", F.lit(0))
+    blocks = known.groupBy("b__block").agg(F.collect_list("__choice").alias("__block"))
+    # two pairs of blocks a task, as far as there are names enough to outweigh the reading of a block of choices
+    many = rest.count()
+    many = max(1, -(-many // NAMES), min(many // max(64, min(n, BLOCK) // 32), -(-2 * tasks // parts)))
+    names = rest.groupBy(F.pmod(F.xxhash64("__name"), F.lit(many)).alias("b__names")).agg(F.sort_array(F.collect_list("__name")).alias("__names"))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, None
@@ -173,11 +302,12 @@ def fuzzy_best_match(rows: DataFrame, name: str, choices: DataFrame, choice: str
             for names, block, k in zip(b["__names"], b["__block"], b["b__block"]):
                 if k != key:
                     key, held = k, Choices(list(block))
-                yield pd.DataFrame([(x, *held.best(x)) for x in names], columns=["__name", "__score", "__best"])
+                for lo in range(0, len(names), AT_ONCE):
+                    own = list(names[lo : lo + AT_ONCE])
+                    yield pd.DataFrame([(x, *y) for x, y in zip(own, held.best_of(own))], columns=["__name", "__score", "__best"])
 
     # a pair of blocks is much work, so few pairs are not put into one task; sorted, so that a block is read once
-    pairs = blocks(rest, "__name", NAMES, "__names").crossJoin(blocks(known, "__choice", BLOCK, "__block"))
-    pairs = pairs.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).sortWithinPartitions("b__block")
+    pairs = names.crossJoin(blocks).repartition(tasks).sortWithinPartitions("b__block")
     scored = pairs.select("__names", "__block", "b__block").mapInPandas(best, "__name string, __score double, __best string")
     # most score, then least text
     top = scored.groupBy("__name").agg(F.min(F.struct((-F.col("__score")).alias("s"), F.col("__best").alias("c"))).alias("t"))

@@ -281,3 +281,42 @@ def test_names_are_scored_with_a_block_of_choices_at_once(monkeypatch):
     for x in ["no such place 771000000#reilppuS", "supplier#000000005", "Suplier#000000123"]:
         score, best = min((-weighted_ratio(x, c), c) for c in numbered)
         assert matching.Choices(numbered).best(x) == (-score, best)
+
+
+def test_states_of_a_search_do_not_follow_the_number_of_choices(monkeypatch):
+    """Choices with the same beginnings and ends share the search of a name; none is scored by itself."""
+    import numpy as np
+
+    from gapwise.functions.similarity import weighted_ratio
+    from gapwise.operators import letters
+
+    names = ["no such place 771000000#reilppuS", "supplier#000000005", "Suplier#000000123"]
+    small = [f"Supplier#{k:09d}" for k in range(400)]
+    assert matching.Choices(small).best_of(names) == [(-s, c) for s, c in (min((-weighted_ratio(x, c), c) for c in small) for x in names)]
+    monkeypatch.setattr(matching, "weighted_ratio", None)
+    monkeypatch.setattr(matching, "Texts", None)
+    states, count = [0], np.bitwise_count
+    monkeypatch.setattr(letters.np, "bitwise_count", lambda x: states.__setitem__(0, states[0] + np.size(x)) or count(x))
+
+    def taken(n):
+        states[0], held = 0, matching.Choices([f"Supplier#{k:09d}" for k in range(n)])
+        return held.best_of(names) and states[0]
+
+    assert taken(50_000) < 4 * taken(1_000)
+
+
+def test_names_of_many_kinds_against_all_pairs(monkeypatch):
+    from gapwise.functions.similarity import weighted_ratio
+    from gapwise.operators import letters
+
+    for seed in range(40):
+        rng = random.Random(seed)
+        monkeypatch.setattr(letters.Letters, "MOST", rng.choice([3, 50, 1 << 18]))
+        some = rng.choice(["ab", "abc ", "0123456789", "éß😀 x"])
+        word = lambda most: "".join(rng.choice(some) for _ in range(rng.randrange(most)))
+        words = [word(7) or "w" for _ in range(8)]
+        name = lambda: rng.choice([word(rng.choice([4, 12, 70])), " ".join(rng.choice(words) for _ in range(rng.randrange(1, 5)))])
+        choices = sorted({name() for _ in range(rng.choice([1, 5, 40]))})
+        names = sorted({name() for _ in range(8)} | {"".join(c for c in rng.choice(choices) if rng.random() > 0.15) for _ in range(8)} | {"no such place " + rng.choice(choices)[::-1]})
+        want = [min((-weighted_ratio(x, c), c) for c in choices) for x in names]
+        assert matching.Choices(choices).best_of(names) == [(-s, c) for s, c in want], seed
